@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, embed_dedup, mixing, ngram_join, quality, secrets, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_quality": quality.op2_quality,
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_format_chats": chat.op5_format_chats,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
+    "op10_embedding_dedup": embed_dedup.op10_embedding_dedup,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op5_format_chats": chat.ORACLE,
+    "op10_embedding_dedup": embed_dedup.ORACLE,
 }
