@@ -66,9 +66,8 @@ def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP, buckets: int = BUC
     weight in :func:`water_fill`. A source's documents form a stream in a fixed hash order, repeated as often as
     its target asks; the stream ends at the target, in the middle of a document if need be.
 
-    Returns doc_id, source, size, source_size, target, taken (words taken over all repeats), position (training
-    time in [0, 1] at which the document first starts, null if not taken), period (time between two repeats'
-    starts in units of demand share). Null text or no words: size 0, taken 0. Repeated rows are streamed like
+    Returns doc_id, source, size, source_size, target, taken (words taken over all repeats), repeats (``taken`` rounded
+    to whole documents) and positions (the training times in [0, 1] at which the repeats start). Null text or no words: size 0, taken 0. Repeated rows are streamed like
     different documents. Empty input: no rows. Other columns are ignored.
 
     Plan: one scan of the text, which leaves id, source and size; the running size in a source is a sum over
@@ -97,20 +96,37 @@ def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP, buckets: int = BUC
     rest = F.floor(F.col("target") - full * F.col("source_size")).cast("long")
     part = F.greatest(F.least(rest - offset, F.col("size")), F.lit(0).cast("long"))
     taken = full * F.col("size") + part
-    share = F.when(F.col("target") > 0, offset / F.col("target"))
-    position = None
+    starts_at = offset / F.col("target")
+    period = F.col("source_size") / F.col("target")
+
+    def times(knots) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), full - F.when(part > 0, 0).otherwise(1)), lambda e: invert(knots, starts_at + e * period))
+
+    positions = None
     for i, knots in enumerate(schedules):
-        at = invert(knots, share)
-        position = F.when(F.col("kind") == i, at) if position is None else position.when(F.col("kind") == i, at)
-    return run.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.when(taken > 0, position).alias("position"),
-        F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).alias("period"),
-    )
+        positions = F.when(F.col("kind") == i, times(knots)) if positions is None else positions.when(F.col("kind") == i, times(knots))
+    positions = F.when(taken > 0, positions).otherwise(F.array().cast("array<double>"))
+    whole = full + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
+    return run.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), whole.cast("int").alias("repeats"), positions.alias("positions"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, all columns, repeated and in training order.
+
+    Whole documents only: one that the mix takes k and a part times comes k + 1 times if the part is half of it or more, else k
+    times; documents without words are left out. Rows are matched to the plan by doc_id and size.
+    """
+    by = [F.col("d").eqNullSafe(F.col("doc_id")), F.col("__size") == F.col("size")]
+    plan = mix(docs, **options).where("repeats > 0 and size > 0").select(F.col("doc_id").alias("d"), F.col("size").alias("__size"), F.slice("positions", 1, F.col("repeats")).alias("positions")).dropDuplicates(["d", "__size"])
+    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    out = sized.join(plan, by[0] & by[1]).withColumn("__position", F.explode("positions"))
+    out = out.repartitionByRange(F.col("__position"), F.col("doc_id")).sortWithinPartitions("__position", "doc_id")
+    return out.select(*docs.columns)
 
 
 def ordered(plan: DataFrame) -> DataFrame:
     """The plan range-sorted by training position; what is not taken comes last."""
+    plan = plan.withColumn("position", F.get("positions", F.lit(0)))
     by = [F.col("position").asc_nulls_last(), F.col("doc_id")]
     return plan.repartitionByRange(*by).sortWithinPartitions(*by)
 
