@@ -29,7 +29,7 @@ def fold(events: DataFrame) -> DataFrame:
 
     Returns conv_id, seq (of the opening event), ord (place among messages opened by the same group), role, text.
     """
-    kind = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KINDS]), "kind").cast("int"), F.lit(1))
+    kind = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int"), F.lit(1))
     kind = F.when(kind == 0, 1).otherwise(kind)
     event = F.struct("seq", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     groups = events.groupBy("conv_id", "msg_id").agg(F.sort_array(F.collect_list(event)).alias("ev"))

@@ -114,13 +114,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, all columns, repeated and in training order.
 
     Whole documents only: one that the mix takes k and a part times comes k + 1 times if the part is half of it or more, else k
-    times; documents without words are left out. Rows are matched to the plan by doc_id and size.
+    times; documents without words are left out. Rows are matched to the plan by doc_id, size and source.
     """
-    by = [F.col("d").eqNullSafe(F.col("doc_id")), F.col("__size") == F.col("size")]
-    plan = mix(docs, **options).where("repeats > 0 and size > 0").select(F.col("doc_id").alias("d"), F.col("size").alias("__size"), F.slice("positions", 1, F.col("repeats")).alias("positions")).dropDuplicates(["d", "__size"])
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    out = sized.join(plan, by[0] & by[1]).withColumn("__position", F.explode("positions"))
-    out = out.repartitionByRange(F.col("__position"), F.col("doc_id")).sortWithinPartitions("__position", "doc_id")
+    plan = mix(docs, **options).where("repeats > 0 and size > 0").dropDuplicates(["doc_id", "size", "source"])
+    plan = plan.select(F.struct("doc_id", "size", "source").alias("__mix_of"), F.slice("positions", 1, F.col("repeats")).alias("__mix_at"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    named = docs.withColumn("__mix_key", F.struct("doc_id", size.alias("size"), "source"))
+    same = [F.col(f"__mix_key.{c}").eqNullSafe(F.col(f"__mix_of.{c}")) for c in ("doc_id", "size", "source")]
+    out = named.join(plan, same[0] & same[1] & same[2]).withColumn("__mix_position", F.explode("__mix_at"))
+    out = out.repartitionByRange("__mix_position", "doc_id").sortWithinPartitions("__mix_position", "doc_id")
     return out.select(*docs.columns)
 
 
