@@ -1 +1,56 @@
-"""Queries."""
+"""Queries on resampling. Draws come from xxhash64, which DuckDB lacks, so tests hold them against known values instead of SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rates as Q
+from ..operators import sample as A
+from .frames import frame
+from .rating import components, nines
+from .registry import query
+
+
+@query("bootstrap_mean")
+def mean(spark, d):
+    m = frame(spark, d, "measurements")
+    reps = A.bootstrap(m, ["model"], "event_id", {"m": F.try_divide(F.sum(F.col("conf") * F.col("weight")), F.sum("weight").cast("double"))}, 200)
+    return nines(A.percentile_interval(reps, ["model"], "m"))
+
+
+@query("bootstrap_bca")
+def bca(spark, d):
+    return nines(A.bca_interval(frame(spark, d, "measurements"), ["model"], "event_id", "conf", 200))
+
+
+@query("bootstrap_correlation")
+def correlation(spark, d):
+    """Weighted sums of products give every replicate's Pearson r in one pass."""
+    w, x, y = F.col("weight"), F.col("conf"), F.col("bet").cast("double")
+    sums = {"n": F.sum(w), "sx": F.sum(w * x), "sy": F.sum(w * y), "sxx": F.sum(w * x * x), "syy": F.sum(w * y * y), "sxy": F.sum(w * x * y)}
+    reps = A.bootstrap(frame(spark, d, "measurements"), ["model"], "event_id", sums, 200)
+    r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))))
+    return nines(A.percentile_interval(reps.withColumn("r", r), ["model"], "r"))
+
+
+@query("bootstrap_slope")
+def slope(spark, d):
+    w, x, y = F.col("weight"), F.col("length").cast("double"), F.col("conf")
+    sums = {"n": F.sum(w), "sx": F.sum(w * x), "sy": F.sum(w * y), "sxx": F.sum(w * x * x), "sxy": F.sum(w * x * y)}
+    reps = A.bootstrap(frame(spark, d, "measurements"), ["channel"], "event_id", sums, 200)
+    b = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    return A.percentile_interval(reps.withColumn("b", b), ["channel"], "b")
+
+
+@query("permutation_difference")
+def permutation(spark, d):
+    c = components(spark, d).where("condition = 1").withColumn("w", F.col("strength") == "weak").withColumn("id", F.concat_ws("|", F.col("task_id").cast("string"), "slot"))
+    return nines(A.permutation_test(c, ["model"], "id", "tokens", "w", 50))
+
+
+@query("label_flip_sensitivity")
+def flips(spark, d):
+    c = components(spark, d).where("condition = 1 and strength = 'weak'").withColumn("id", F.concat_ws("|", F.col("task_id").cast("string"), "slot")).select("id", "model", "strength", "decision", "correct", "routed")
+    per = A.label_flips(c, "id", "correct", 17, 50).groupBy("replicate", "model").agg(Q.failure().alias("cfr"))
+    means = per.groupBy("replicate").agg(F.avg("cfr").alias("mean_cfr"))
+    return nines(means.agg(F.avg("mean_cfr").alias("mean"), F.stddev_samp("mean_cfr").alias("sd"), F.count("*").alias("replicates")))
