@@ -244,3 +244,57 @@ def families(spark, d):
 def tools(spark, d):
     names = F.when(F.col("n_tools") == 0, F.array().cast("array<string>")).when(F.col("n_tools") == 1, F.array(F.lit("calculator"))).otherwise(F.array(F.lit("calculator"), F.lit("Expert")))
     return frame(spark, d, "measurements").groupBy("n_tools", R.tool_signal(names).alias("signal")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "transfer_scores",
+    """WITH a AS (SELECT domain, avg(correct::INT) AS acc FROM {measurements} m WHERE correct IS NOT NULL GROUP BY domain), j AS (SELECT model, channel, m.domain, avg(conf) AS signal, any_value(acc) AS acc FROM {measurements} m JOIN a USING (domain) GROUP BY ALL),
+       r AS (SELECT model, channel, (rank() OVER (PARTITION BY model, channel ORDER BY signal) + (count(*) OVER (PARTITION BY model, channel, signal) - 1) / 2.0)::DOUBLE AS x, (rank() OVER (PARTITION BY model, channel ORDER BY acc) + (count(*) OVER (PARTITION BY model, channel, acc) - 1) / 2.0)::DOUBLE AS y FROM j),
+       s AS (SELECT model, channel, corr(x, y) AS rho FROM r GROUP BY ALL) SELECT model, round(avg(rho), 8) AS transfer, count(rho)::BIGINT AS channels FROM s GROUP BY model""",
+)
+def transfer(spark, d):
+    from ..functions.stats import spearman
+
+    m = frame(spark, d, "measurements")
+    acc = m.where("correct is not null").groupBy("domain").agg(M.accuracy(F.col("correct")).alias("acc"))
+    j = m.groupBy("model", "channel", "domain").agg(F.avg("conf").alias("signal")).join(acc, "domain")
+    s = spearman(j, ["model", "channel"], "signal", "acc")
+    return s.groupBy("model").agg(F.round(F.avg("rho"), 8).alias("transfer"), F.count("rho").alias("channels"))
+
+
+@query(
+    "verbal_transfer",
+    "SELECT lang, count(*)::BIGINT AS n, round(avg((contains(lower(text), 'tion') OR contains(lower(text), 'zu'))::INT), 9) AS named FROM documents WHERE text IS NOT NULL GROUP BY lang",
+)
+def verbal(spark, d):
+    from ..functions.text import present
+    from .frames import table
+
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg((present(F.col("text"), ("tion", "zu")) > 0).cast("int")), 9).alias("named"))
+
+
+@query(
+    "monitoring_mismatch",
+    """WITH m AS (SELECT * FROM {measurements} m WHERE correct IS NOT NULL AND channel = '1'), q AS (SELECT model, quantile_cont(bet, 0.25) AS lo, quantile_cont(bet, 0.75) AS hi, count(*) AS n FROM m GROUP BY model)
+       SELECT model, round(avg(correct::INT) FILTER (bet >= hi) - avg(correct::INT) FILTER (bet <= lo), 9) AS gap FROM m JOIN q USING (model) WHERE n >= 50 GROUP BY model""",
+)
+def monitoring(spark, d):
+    m = frame(spark, d, "measurements").where("correct is not null and channel = '1'")
+    q = m.groupBy("model").agg(F.percentile("bet", F.lit(0.25)).alias("lo"), F.percentile("bet", F.lit(0.75)).alias("hi"), F.count("*").alias("n")).where("n >= 50")
+    y = M.as_number(F.col("correct"))
+    return m.join(q, "model").groupBy("model").agg(F.round(F.avg(F.when(F.col("bet") >= F.col("hi"), y)) - F.avg(F.when(F.col("bet") <= F.col("lo"), y)), 9).alias("gap"))
+
+
+@query("worst_case_row", "SELECT model, domain, n FROM (SELECT model, domain, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY model ORDER BY avg(conf) DESC, domain DESC) AS rn FROM {measurements} m GROUP BY model, domain) x WHERE rn = 1")
+def worst(spark, d):
+    g = frame(spark, d, "measurements").groupBy("model", "domain").agg(F.count("*").alias("n"), F.avg("conf").alias("c"))
+    return g.groupBy("model").agg(F.max_by(F.struct("domain", "n"), F.struct("c", "domain")).alias("w")).select("model", "w.domain", "w.n")
+
+
+@query("named_row_delta", "WITH g AS (SELECT model, avg(conf) AS conf, avg(bet) AS bet FROM {measurements} m GROUP BY model) SELECT 'conf' AS metric, round((SELECT conf FROM g WHERE model = 'click') - (SELECT conf FROM g WHERE model = 'view'), 9) AS delta UNION ALL SELECT 'bet', round((SELECT bet FROM g WHERE model = 'click') - (SELECT bet FROM g WHERE model = 'view'), 9)")
+def delta(spark, d):
+    m = frame(spark, d, "measurements").where("model in ('click', 'view')")
+    of = lambda c, k: F.avg(F.when(F.col("model") == k, F.col(c)))
+    g = m.agg(*[F.round(of(c, "click") - of(c, "view"), 9).alias(c) for c in ("conf", "bet")])
+    return g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("delta")) for c in ("conf", "bet")])).alias("x")).select("x.*")
