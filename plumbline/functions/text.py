@@ -65,8 +65,8 @@ def strip(x: Column) -> Column:
 
 
 def grab(x: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null if there is none or the group took no part."""
-    return F.when(F.regexp_like(x, F.lit(pattern)), F.regexp_extract(x, pattern, group))
+    """The group of the first match, null if there is none or the group is empty. The match is made once."""
+    return let(F.regexp_extract(x, pattern, group), blank)
 
 
 def blank(x: Column) -> Column:
@@ -75,23 +75,28 @@ def blank(x: Column) -> Column:
 
 def count_phrases(x: Column, phrases) -> Column:
     """Sum of the phrases' non-overlapping occurrences in the lower-cased text; null counts 0."""
-
-    def body(low: Column) -> Column:
-        out = F.lit(0)
-        for p in phrases:
-            out = out + ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("int")
-        return out
-
-    return let(F.lower(F.coalesce(x, F.lit(""))), body)
+    low = F.lower(F.coalesce(x, F.lit("")))
+    out = F.lit(0)
+    for p in phrases:
+        out = out + ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("int")
+    return out
 
 
 def present(x: Column, phrases) -> Column:
-    """How many of the phrases occur in the lower-cased text."""
-    return let(F.lower(F.coalesce(x, F.lit(""))), lambda low: F.size(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))))
+    """How many of the phrases occur in the lower-cased text; null has none."""
+    low = F.lower(F.coalesce(x, F.lit("")))
+    out = F.lit(0)
+    for p in phrases:
+        out = out + F.contains(low, F.lit(p)).cast("int")
+    return out
 
 
 def refuses(x: Column, phrases=REFUSALS) -> Column:
-    return present(x, phrases) > 0
+    low = F.lower(F.coalesce(x, F.lit("")))
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(low, F.lit(p))
+    return out
 
 
 def word_count(x: Column) -> Column:
@@ -105,8 +110,8 @@ def unbracket(x: Column) -> Column:
 def labeled(x: Column, label: str) -> Column:
     """What follows ``LABEL:`` up to the next label or the end, without brackets around it; else the rest of the label's line."""
     q = re.escape(label)
-    whole = blank(unbracket(strip(grab(x, rf"(?is){q}\s*:\s*(.+?)(?=\n[A-Z_]{{2,}}\s*:|$)"))))
-    return F.coalesce(whole, blank(unbracket(strip(grab(x, rf"(?i){q}\s*:\s*(.+)")))))
+    clean = lambda pattern: let(let(strip(F.regexp_extract(x, pattern, 1)), unbracket), blank)
+    return F.coalesce(clean(rf"(?is){q}\s*:\s*(.+?)(?=\n[A-Z_]{{2,}}\s*:|$)"), clean(rf"(?i){q}\s*:\s*(.+)"))
 
 
 def strip_thinking(x: Column) -> Column:
@@ -118,30 +123,42 @@ def strip_thinking(x: Column) -> Column:
     )
 
 
-def _unless_refused(x: Column, value: Column) -> Column:
-    return F.when(~refuses(x), value)
-
-
 def parse_wager(x: Column) -> Column:
     """answer, bet (1-10, or a lone number in the last line of a text that never says BET), refused, parse_success."""
     said = grab(x, r"(?i)BET\s*:\s*(\d+)").try_cast("int")
     tail = F.element_at(F.split(strip(x), "\n"), -1)
     lone = F.when(~F.contains(F.upper(x), F.lit("BET")), grab(tail, r"\b([1-9]|10)\b").cast("int"))
-    answer, bet = _unless_refused(x, labeled(x, "ANSWER")), _unless_refused(x, F.coalesce(F.when(said.between(1, 10), said), lone))
-    return F.struct(answer.alias("answer"), bet.alias("bet"), refuses(x).alias("refused"), (answer.isNotNull() & bet.isNotNull()).alias("parse_success"))
+    found = F.struct(refuses(x).alias("no"), labeled(x, "ANSWER").alias("answer"), said.alias("said"), lone.alias("lone"))
+
+    def out(f: Column) -> Column:
+        answer = F.when(~f["no"], f["answer"])
+        bet = F.when(~f["no"], F.coalesce(F.when(f["said"].between(1, 10), f["said"]), f["lone"]))
+        return F.struct(answer.alias("answer"), bet.alias("bet"), f["no"].alias("refused"), (answer.isNotNull() & bet.isNotNull()).alias("parse_success"))
+
+    return let(found, out)
 
 
 def parse_optout(x: Column) -> Column:
-    skipped = ~refuses(x) & F.coalesce(F.regexp_like(x, F.lit(r"(?i)\bSKIP\b")) & ~F.regexp_like(x, F.lit(r"(?i)(don'?t|not|no)\s+skip")), F.lit(False))
-    own = labeled(x, "ANSWER")
-    answer = F.when(~refuses(x) & ~skipped, F.coalesce(own, blank(F.left(strip(x), F.lit(500)))))
-    return F.struct(answer.alias("answer"), skipped.alias("skipped"), refuses(x).alias("refused"), (skipped | (~refuses(x) & ~skipped & own.isNotNull())).alias("parse_success"))
+    skips = F.coalesce(F.regexp_like(x, F.lit(r"(?i)\bSKIP\b")) & ~F.regexp_like(x, F.lit(r"(?i)(don'?t|not|no)\s+skip")), F.lit(False))
+    found = F.struct(refuses(x).alias("no"), skips.alias("skips"), labeled(x, "ANSWER").alias("own"), F.left(strip(x), F.lit(500)).alias("all"))
+
+    def out(f: Column) -> Column:
+        skipped, tried = ~f["no"] & f["skips"], ~f["no"] & ~f["skips"]
+        answer = F.when(tried, F.coalesce(f["own"], blank(f["all"])))
+        return F.struct(answer.alias("answer"), skipped.alias("skipped"), f["no"].alias("refused"), (skipped | (tried & f["own"].isNotNull())).alias("parse_success"))
+
+    return let(found, out)
 
 
 def parse_choice(x: Column) -> Column:
-    choice = _unless_refused(x, F.upper(F.coalesce(grab(x, r"(?i)CHOICE\s*:\s*([AB])"), grab(x, r"\b([AB])\b"))))
-    answer = _unless_refused(x, labeled(x, "ANSWER"))
-    return F.struct(choice.alias("choice"), answer.alias("answer"), refuses(x).alias("refused"), (choice.isNotNull() & answer.isNotNull()).alias("parse_success"))
+    choice = F.upper(F.coalesce(grab(x, r"(?i)CHOICE\s*:\s*([AB])"), grab(x, r"\b([AB])\b")))
+    found = F.struct(refuses(x).alias("no"), choice.alias("choice"), labeled(x, "ANSWER").alias("answer"))
+
+    def out(f: Column) -> Column:
+        choice, answer = F.when(~f["no"], f["choice"]), F.when(~f["no"], f["answer"])
+        return F.struct(choice.alias("choice"), answer.alias("answer"), f["no"].alias("refused"), (choice.isNotNull() & answer.isNotNull()).alias("parse_success"))
+
+    return let(found, out)
 
 
 _CALL = r"(?i)\[USE_TOOL\s*:\s*(\w+)\s*\|\s*([^\]]+)\]"
@@ -153,8 +170,14 @@ def parse_tools(x: Column, tools=TOOLS) -> Column:
     calls = F.zip_with(names, inputs, lambda n, i: F.struct(F.lower(n).alias("tool_name"), strip(i).alias("tool_input")))
     used = F.filter(calls, lambda c: c["tool_name"].isin(*tools))
     none = F.array().cast("array<struct<tool_name:string,tool_input:string>>")
-    answer = _unless_refused(x, F.coalesce(labeled(x, "ANSWER"), blank(F.left(strip(F.regexp_replace(x, _CALL, "")), F.lit(1000)))))
-    return F.struct(answer.alias("answer"), F.when(~refuses(x) & x.isNotNull(), used).otherwise(none).alias("tools_used"), refuses(x).alias("refused"), answer.isNotNull().alias("parse_success"))
+    answer = F.coalesce(labeled(x, "ANSWER"), let(F.left(strip(F.regexp_replace(x, _CALL, "")), F.lit(1000)), blank))
+    found = F.struct(refuses(x).alias("no"), answer.alias("answer"), F.coalesce(used, none).alias("used"))
+
+    def out(f: Column) -> Column:
+        answer = F.when(~f["no"], f["answer"])
+        return F.struct(answer.alias("answer"), F.when(f["no"], none).otherwise(f["used"]).alias("tools_used"), f["no"].alias("refused"), answer.isNotNull().alias("parse_success"))
+
+    return let(found, out)
 
 
 def parse_natural(x: Column, hedges=HEDGES, caveats=CAVEATS) -> Column:
@@ -169,20 +192,28 @@ def _edges(x: Column) -> Column:
 def parse_report(x: Column) -> Column:
     """The structured self-report: confidence (clamped to 0-100), sub_skills, weakest_skill, verify, approach, answer."""
     line = lambda label: strip(grab(x, rf"(?i){label}\s*:\s*(.+?)(?:\n|$)"))
-    ok = lambda c: _unless_refused(x, c)
-    confidence = ok(F.least(grab(x, r"(?i)CONFIDENCE\s*:\s*(\d{1,3})").cast("int"), F.lit(100)))
     skills = F.filter(F.transform(F.split(_edges(line("SUB_SKILLS")), ","), strip), lambda s: s != "")
-    raw = F.lower(_edges(line("APPROACH")))
-    approach = F.left(raw, F.lit(50))
-    for name in reversed(APPROACHES):
-        approach = F.when(F.contains(raw, F.lit(name)) | F.contains(raw, F.lit(name.replace("-", " "))), F.lit(name)).otherwise(approach)
-    verify = F.lower(grab(x, r"(?i)VERIFY\s*:\s*(\w+)")).isin("yes", "true", "1", "y")
-    answer = ok(labeled(x, "ANSWER"))
-    return F.struct(
-        confidence.alias("confidence"), F.coalesce(ok(skills), F.array().cast("array<string>")).alias("sub_skills"), ok(_edges(line("WEAKEST_SKILL"))).alias("weakest_skill"), ok(verify).alias("verify"), ok(approach).alias("approach"),
-        answer.alias("answer"), refuses(x).alias("refused"), (confidence.isNotNull() & answer.isNotNull()).alias("parse_success"),
+
+    def way(raw: Column) -> Column:
+        out = F.left(raw, F.lit(50))
+        for name in reversed(APPROACHES):
+            out = F.when(F.contains(raw, F.lit(name)) | F.contains(raw, F.lit(name.replace("-", " "))), F.lit(name)).otherwise(out)
+        return out
+
+    found = F.struct(
+        refuses(x).alias("no"), F.least(grab(x, r"(?i)CONFIDENCE\s*:\s*(\d{1,3})").cast("int"), F.lit(100)).alias("confidence"), skills.alias("skills"), _edges(line("WEAKEST_SKILL")).alias("weakest"),
+        F.lower(grab(x, r"(?i)VERIFY\s*:\s*(\w+)")).isin("yes", "true", "1", "y").alias("verify"), let(F.lower(_edges(line("APPROACH"))), way).alias("approach"), labeled(x, "ANSWER").alias("answer"),
     )
 
+    def out(f: Column) -> Column:
+        ok = lambda c: F.when(~f["no"], f[c])
+        return F.struct(
+            ok("confidence").alias("confidence"), F.coalesce(ok("skills"), F.array().cast("array<string>")).alias("sub_skills"), ok("weakest").alias("weakest_skill"), ok("verify").alias("verify"), ok("approach").alias("approach"),
+            ok("answer").alias("answer"), f["no"].alias("refused"), (ok("confidence").isNotNull() & ok("answer").isNotNull()).alias("parse_success"),
+        )
+
+    return let(found, out)
+
 
 #: Parsers by channel; more can be added.
 PARSERS = {"1": parse_wager, "2": parse_optout, "3": parse_choice, "4": parse_tools, "5": parse_natural, "layer2": parse_report}
@@ -273,7 +304,8 @@ def parse_burn(x: Column) -> Column:
 
 
 def section(x: Column, marker: str) -> Column:
-    return F.coalesce(grab(x, rf"(?is){re.escape(marker)}[:\s]*(.*?)(?=TASK \d|$)"), x)
+    pattern = rf"(?is){re.escape(marker)}[:\s]*(.*?)(?=TASK \d|$)"
+    return F.when(F.regexp_like(x, F.lit(pattern)), F.regexp_extract(x, pattern, 1)).otherwise(x)
 
 
 def parse_phase(x: Column) -> Column:
