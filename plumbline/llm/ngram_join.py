@@ -194,7 +194,8 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     front = classes.select("rep", F.explode(start).alias("key"))
     buckets = None
     for depth in range(1, DEPTH + 1):
-        counts = front.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        # a checkpointed side lets adaptive execution split a hot key of the other one
+        counts = checkpoint(front.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
         multi = checkpoint(front.join(counts, "key"))
         last = depth == DEPTH
         ready = multi if last else multi.where(F.col("size") <= SMALL)
