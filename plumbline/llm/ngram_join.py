@@ -228,3 +228,17 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k * 10 >= 8 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, m.class_id, coalesce(k.n_links, 0)::BIGINT AS n_links, coalesce(n.n, 0)::BIGINT AS n_shingles
+FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN k ON k.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

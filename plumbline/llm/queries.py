@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op4_ngram_jaccard": ngram_join.ORACLE,
     "op5_format_chats": chat.ORACLE,
     "op6_license_scan": licenses.oracle(),
     "op8_warc_audit": warc.ORACLE,
