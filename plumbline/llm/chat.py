@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 OPEN, MIDDLE, CLOSE = "<turn>", "<text>", "</turn>\n"
 #: Kinds of events. ``message`` opens a message; the others change the newest message of the same msg_id.
@@ -53,14 +54,15 @@ def render(messages: DataFrame) -> DataFrame:
     Each turn is ``<turn>`` role ``<text>`` text ``</turn>`` and a line feed; role and text are escaped. Turns go
     by seq, then ord, role and text. Offsets count code points from 0.
     """
-    turn = F.struct("seq", "ord", "role", "text")
-    by_conv = messages.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
-    piece = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE), t["text"], F.lit(CLOSE))
-    size = lambda t: F.length(t["role"]) + F.length(t["text"]) + len(OPEN + MIDDLE + CLOSE)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    own = lambda s, t: F.when(t["role"] == "assistant", F.array(F.struct((s["at"] + len(OPEN + MIDDLE) + F.length(t["role"])).alias("start"), F.length(t["text"]).alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
-    loss = F.aggregate("turns", zero, lambda s, t: F.struct((s["at"] + size(t)).alias("at"), F.concat(s["spans"], own(s, t)).alias("spans")), lambda s: s["spans"])
-    return by_conv.select("conv_id", F.array_join(F.transform("turns", piece), "").alias("formatted"), loss.alias("loss"))
+    rows = messages.withColumn("r", escape(F.col("role"))).withColumn("t", escape(F.col("text")))
+    size = F.length("r") + F.length("t") + len(OPEN + MIDDLE + CLOSE)
+    before = W.Window.partitionBy("conv_id").orderBy("seq", "ord", "role", "text").rowsBetween(W.Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + len(OPEN + MIDDLE) + F.length("r"))
+    span = F.when(F.col("role") == "assistant", F.struct(F.col("at").cast("long").alias("start"), F.length("t").cast("long").alias("length")))
+    # the spans are an aggregate of their own, so a reader of the text alone does not pay for the window
+    by_conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "ord", "role", "text", "r", "t"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss"))
+    piece = lambda t: F.concat(F.lit(OPEN), t["r"], F.lit(MIDDLE), t["t"], F.lit(CLOSE))
+    return by_conv.select("conv_id", F.array_join(F.transform("turns", piece), "").alias("formatted"), "loss")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
