@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.stats import let, normal_cdf, normal_ppf
+
 
 def order_key(ident: Column, seed: int) -> Column:
     """Pseudo-random order of ids: sha1 of id and seed, which SQL engines share."""
@@ -56,27 +58,38 @@ def one_per_source(df: DataFrame, by: list[str], source: str, n: int, order: lis
     return per_group(ranked, by, n, ["__first", *order]).drop("__first")
 
 
-def poisson_weight(ident: Column, replicate: Column, seed: int) -> Column:
+def _draw(ident: Column, replicate: Column, seed: int, portable: bool) -> Column:
+    """Hash of a row in a replicate: xxhash64, or sha1, which other engines have too but which costs some fifty times as much."""
+    return F.sha1(F.concat_ws("|", ident.cast("string"), replicate.cast("string"), F.lit(str(seed)))) if portable else F.xxhash64(ident, replicate, F.lit(seed))
+
+
+def poisson_weight(ident: Column, replicate: Column, seed: int, portable: bool = False) -> Column:
     """A Poisson(1) number of draws of a row in a replicate, from a hash: the bootstrap of independent rows."""
-    u = F.pmod(F.xxhash64(ident, replicate, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out, mass, total = F.lit(8), 0.36787944117144233, 0.0
-    edges = []
+    draw = _draw(ident, replicate, seed, portable)
+    u = F.conv(F.substring(draw, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52)) if portable else F.pmod(draw, F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return _quantile(u)
+
+
+def poisson_edges() -> list[float]:
+    """Distribution function of Poisson(1) at 0 to 7; what lies beyond counts as 8."""
+    mass, edges = 0.36787944117144233, []
     for k in range(8):
-        total += mass
-        edges.append((total, k))
+        edges.append((edges[-1] if edges else 0.0) + mass)
         mass /= k + 1
-    for edge, k in reversed(edges):
-        out = F.when(u < edge, k).otherwise(out)
-    return out
+    return edges
+
 
+def _quantile(u: Column) -> Column:
+    return let(u, lambda x: F.size(F.filter(F.array(*[F.lit(e) for e in poisson_edges()]), lambda e: e <= x)))
 
-def bootstrap(df: DataFrame, by: list[str], ident: str, measures: dict[str, Column], replicates: int, seed: int = 42, weight: str = "weight") -> DataFrame:
+
+def bootstrap(df: DataFrame, by: list[str], ident: str, measures: dict[str, Column], replicates: int, seed: int = 42, weight: str = "weight", portable: bool = False) -> DataFrame:
     """Replicates of aggregates: (by, replicate, measures), where each measure is an aggregate of columns and ``weight``.
 
     Rows are multiplied by replicates on the map side only: what is shuffled is one partial row a (group, replicate) and task.
     """
     grown = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    grown = grown.withColumn(weight, poisson_weight(F.col(ident), F.col("replicate"), seed)).where(F.col(weight) > 0)
+    grown = grown.withColumn(weight, poisson_weight(F.col(ident), F.col("replicate"), seed, portable)).where(F.col(weight) > 0)
     return grown.groupBy(*by, "replicate").agg(*[m.alias(n) for n, m in measures.items()])
 
 
@@ -87,8 +100,6 @@ def percentile_interval(reps: DataFrame, by: list[str], measure: str, level: flo
 
 def bca_interval(df: DataFrame, by: list[str], ident: str, value: str, replicates: int, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Bias-corrected accelerated interval of a mean by group. The jackknife of a mean is closed form, so acceleration comes from central moments; fewer than two rows: null."""
-    from ..functions.stats import let, normal_cdf, normal_ppf
-
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull())
     base = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("__m2"), F.skewness(v).alias("__skew"))
@@ -106,7 +117,7 @@ def bca_interval(df: DataFrame, by: list[str], ident: str, value: str, replicate
     return j.select(*by, "n", "mean", F.when(F.col("n") > 1, end(a)).alias("lo"), F.when(F.col("n") > 1, end(1 - a)).alias("hi"))
 
 
-def permutation_test(df: DataFrame, by: list[str], ident: str, value: str, first: str, replicates: int, seed: int = 42, alternative: str = "two-sided") -> DataFrame:
+def permutation_test(df: DataFrame, by: list[str], ident: str, value: str, first: str, replicates: int, seed: int = 42, alternative: str = "two-sided", portable: bool = False) -> DataFrame:
     """Permutation test of the difference of means of the rows where ``first`` holds and the others; p = count / replicates.
 
     A replicate relabels by the hash order of ids within the group.
@@ -114,19 +125,19 @@ def permutation_test(df: DataFrame, by: list[str], ident: str, value: str, first
     rows = df.where(F.col(value).isNotNull() & F.col(first).isNotNull()).select(*by, ident, F.col(value).cast("double").alias("__v"), F.col(first).alias("__f"))
     size = rows.groupBy(*by).agg(F.count_if("__f").alias("__k"), (F.avg(F.when(F.col("__f"), F.col("__v"))) - F.avg(F.when(~F.col("__f"), F.col("__v")))).alias("observed"))
     grown = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = W.Window.partitionBy(*by, "replicate").orderBy(F.xxhash64(ident, "replicate", F.lit(seed)), ident)
+    w = W.Window.partitionBy(*by, "replicate").orderBy(_draw(F.col(ident), F.col("replicate"), seed, portable), ident)
     drawn = grown.withColumn("__rn", F.row_number().over(w)).join(size, by)
     g = drawn.groupBy(*by, "replicate", "observed").agg((F.avg(F.when(F.col("__rn") <= F.col("__k"), F.col("__v"))) - F.avg(F.when(F.col("__rn") > F.col("__k"), F.col("__v")))).alias("d"))
     tail = {"two-sided": F.abs("d") >= F.abs("observed"), "greater": F.col("d") >= F.col("observed"), "less": F.col("d") <= F.col("observed")}[alternative]
     return g.groupBy(*by).agg(F.first("observed").alias("observed"), (F.count_if(tail) / F.lit(replicates)).alias("p"))
 
 
-def label_flips(df: DataFrame, ident: str, label: str, flips: int, replicates: int, seed: int = 42) -> DataFrame:
+def label_flips(df: DataFrame, ident: str, label: str, flips: int, replicates: int, seed: int = 42, portable: bool = False) -> DataFrame:
     """Rows of each replicate with ``flips`` labels inverted: those with the smallest hashes. Adds replicate.
 
     The flips of a replicate are taken as a top-k by hash; k times the number of replicates ids, both parameters, are broadcast back to the rows.
     """
-    grown = df.select(ident).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__h", F.xxhash64(ident, "replicate", F.lit(seed)))
+    grown = df.select(ident).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__h", _draw(F.col(ident), F.col("replicate"), seed, portable))
     picked = per_group(grown, ["replicate"], flips, ["__h", ident])
     marked = picked.select("replicate", ident, F.lit(True).alias("__flip"))
     all_ = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
