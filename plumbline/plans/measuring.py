@@ -51,7 +51,7 @@ def pivoted(spark, d):
 @query("ece_rescaled", "SELECT model, round(sum(abs(y - c)) / sum(n), 9) AS ece FROM (SELECT model, least(floor(x * 10), 9) AS b, count(*) AS n, sum(x) AS c, sum(correct::INT) AS y FROM (SELECT model, correct, CASE WHEN bet * 10 > 1 THEN bet * 10 / 100.0 ELSE bet * 10 END::DOUBLE AS x FROM {measurements} m WHERE correct IS NOT NULL AND channel = '1') z GROUP BY ALL) x GROUP BY model")
 def rescaled(spark, d):
     m = frame(spark, d, "measurements").where("channel = '1'").withColumn("x", F.col("bet") * 10.0)
-    return _rounded(M.ece(m, ["model"], "x", "correct", rescale=True), []).select("model", F.round("ece", 9).alias("ece"))
+    return M.ece(m, ["model"], "x", "correct", rescale=True).select("model", F.round("ece", 9).alias("ece"))
 
 
 @query("roc_points", f"SELECT model, bet, sum(p) OVER w::BIGINT AS tp, sum(n) OVER w::BIGINT AS fp FROM (SELECT model, bet, count(*) FILTER (correct) AS p, count(*) FILTER (NOT correct) AS n FROM {_KNOWN} GROUP BY ALL) x WINDOW w AS (PARTITION BY model ORDER BY bet DESC)")
