@@ -59,7 +59,8 @@ def quantiles(value: str, q: float) -> dict[str, Column]:
 
 
 def pareto_front(points: DataFrame, key: list[str], up: list[str], down: list[str]) -> DataFrame:
-    """Points that no other point dominates: at least as good everywhere and better somewhere; a null is no objection.
+    """Points that no other point dominates: at least as good everywhere and better somewhere. A missing ``up`` value counts as -1; a missing ``down`` value
+    is no objection.
 
     For tables of policies: a left anti-join on the dominance condition, which has no equality, so its cost is the square of the number of points.
     """
@@ -67,6 +68,8 @@ def pareto_front(points: DataFrame, key: list[str], up: list[str], down: list[st
     weak, strict = F.lit(True), F.lit(False)
     for c, sign in [*((c, 1) for c in up), *((c, -1) for c in down)]:
         a, b = F.col(f"__{c}") * sign, F.col(c) * sign
+        if sign > 0:
+            a, b = F.coalesce(a, F.lit(-1.0)), F.coalesce(b, F.lit(-1.0))
         weak = weak & (a.isNull() | b.isNull() | (a >= b))
         strict = strict | F.coalesce(a > b, F.lit(False))
     return points.join(F.broadcast(other) if points.count() <= 100_000 else other, weak & strict, "left_anti")

@@ -107,6 +107,11 @@ def unbracket(x: Column) -> Column:
     return F.when(x.startswith("[") & x.endswith("]") & (F.length(x) > 1), strip(F.substr(x, F.lit(2), F.length(x) - 2))).otherwise(x)
 
 
+def strip_markdown(x: Column) -> Column:
+    """Text without emphasis marks, backquotes and heading marks, for labels that a model has decorated."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?m)^#{1,6}\s+", ""), r"\*{1,3}|_{2}|`+", "")
+
+
 def labeled(x: Column, label: str) -> Column:
     """What follows ``LABEL:`` up to the next label or the end, without brackets around it; else the rest of the label's line."""
     q = re.escape(label)
@@ -510,7 +515,7 @@ def hash_range(x: Column, mod: int) -> Column:
 
 
 def slug(x: Column) -> Column:
-    return F.regexp_replace(x, r"[^A-Za-z0-9._-]+", "_")
+    return F.translate(x, "./", "--")
 
 
 def clamp(x: Column) -> Column:

@@ -70,10 +70,13 @@ def conformal_threshold(df: DataFrame, by: list[str], score: str, correct: str,
 
 
 def budget_threshold(df: DataFrame, by: list[str], score: str, rate: float) -> DataFrame:
-    """Score above which escalating comes nearest to ``rate`` of the rows; the lower threshold wins ties. Candidates are the distinct scores."""
-    curve = score_curve(df.withColumn("__ok", F.lit(True)), by, score, "__ok")
-    total = df.groupBy(*by).agg(F.count("*").alias("__total"))
-    got = curve.join(total, by).withColumn("rate", 1 - F.col("n") / F.col("__total"))
+    """Score above which escalating comes nearest to ``rate`` of the rows; the lower threshold wins ties.
+
+    Candidates are the distinct scores and one below them all, which escalates everything."""
+    curve = score_curve(df.withColumn("__ok", F.lit(True)), by, score, "__ok").select(*by, F.col("t").cast("double").alias("t"), "n")
+    total = df.groupBy(*by).agg(F.count("*").alias("__total"), (F.min(score).cast("double") - 1e-12).alias("__below"))
+    all_ = total.select(*by, F.col("__below").alias("t"), F.lit(0).cast("long").alias("n"))
+    got = curve.unionByName(all_).join(total, by).withColumn("rate", 1 - F.col("n") / F.col("__total"))
     best = F.min(F.struct(F.abs(F.col("rate") - rate).alias("gap"), F.col("t"), F.col("rate")))
     return got.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.t").alias("threshold"), F.col("b.rate").alias("rate"))
 

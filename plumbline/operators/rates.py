@@ -36,9 +36,9 @@ def failure(kind: str = "proceed", weak: Column | None = None) -> Column:
 
 
 def deferral(strong: Column | None = None) -> Column:
-    """Unnecessary deferral rate (aggregate): did not proceed over strong."""
+    """Unnecessary deferral rate (aggregate): deferred or used a tool and would have been right, over strong."""
     strong = STRONG() if strong is None else strong
-    return ratio(F.count_if(strong & ~PROCEED()), F.count_if(strong))
+    return ratio(F.count_if(strong & F.col("decision").isin("defer", "use_tool") & ~WRONG()), F.count_if(strong))
 
 
 def failure_rates(components: DataFrame, by: list[str]) -> DataFrame:
@@ -52,15 +52,21 @@ def escalation_curve(components: DataFrame) -> DataFrame:
 
 
 def policies(gap: str = "gap", acc: str = "natural_acc", accuracy_cut: float = 0.5, gap_cut: float = 0.3) -> dict[str, Column]:
-    """Routing policies as conditions under which a component is escalated."""
+    """Routing policies as conditions under which a component is sent away; what a policy knows nothing about is sent away."""
     return {
         "none": F.lit(False),
-        "accuracy": F.coalesce(F.col(acc) < accuracy_cut, F.lit(False)),
-        "gap": F.coalesce(F.col(gap) > gap_cut, F.lit(False)),
-        "own": ~PROCEED(),
+        "accuracy": F.coalesce(F.col(acc) < accuracy_cut, F.lit(True)),
+        "gap": F.coalesce(F.col(gap) > gap_cut, F.lit(True)),
+        "oracle": F.coalesce(F.col(acc) < 0.5, F.lit(True)),
     }
 
 
+def routing(components: DataFrame, by: list[str], masks: dict[str, Column]) -> DataFrame:
+    """Conditional failure rate of weak components under several routing policies, in one pass."""
+    weak = components.where(WEAK()).select(*by, (PROCEED() & WRONG()).alias("__bad"), F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), m.alias("m")) for k, m in masks.items()])).alias("__p"))
+    return weak.groupBy(*by, F.col("__p.policy").alias("policy")).agg(F.count("*").alias("n"), ratio(F.count_if(F.col("__bad") & ~F.col("__p.m")), F.count("*")).alias("cfr"))
+
+
 def strategy(escalated: Column, weak: Column, correct: Column) -> dict[str, Column]:
     """What a boolean escalation mask achieves (aggregates)."""
     wrong = ~F.coalesce(correct, F.lit(False))
@@ -82,24 +88,41 @@ def compare(df: DataFrame, by: list[str], masks: dict[str, Column], weak: Column
 
 
 def tradeoff(four: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
-    """Escalation under condition 4 against what condition 1 did with the same components.
+    """Escalation of weak components under condition 4 against how the same components came out under condition 1.
 
-    Left join on ``key``; components without a counterpart fall in the class 'unknown'. By model: rate of escalation, share of escalations that
-    would have failed or succeeded, failures prevented and successes blocked a hundred components, and their difference.
+    Left join on ``key``; components of unknown strength are left out, escalations without a counterpart are counted as unknown. By model: sizes,
+    escalation rate, shares of the matched escalations that were needed (condition 1 was wrong) and needless, failures prevented and successes blocked
+    a hundred weak components with their difference, weak accuracy under either condition, success and share of the weak components not
+    escalated, unnecessary deferral and accuracy of strong components, and accuracy of everything not escalated.
     """
-    base = one.select(*key, F.col("decision").alias("__d1"), F.col("correct").alias("__c1"))
-    joined = four.join(base, key, "left")
-    esc = ~PROCEED() | F.col("routed")
-    known = F.col("__c1").isNotNull()
-    bad = known & ~F.col("__c1") & (F.col("__d1") == "proceed")
-    good = known & F.col("__c1") & (F.col("__d1") == "proceed")
-    n = F.count("*")
-    return joined.groupBy("model").agg(
-        n.alias("n"), ratio(F.count_if(esc), n).alias("escalation"), ratio(F.count_if(esc & bad), F.count_if(esc)).alias("right_escalation"), ratio(F.count_if(esc & good), F.count_if(esc)).alias("false_escalation"),
-        ratio(F.count_if(esc & bad) * 100, n).alias("prevented"), ratio(F.count_if(esc & good) * 100, n).alias("blocked"), ratio((F.count_if(esc & bad) - F.count_if(esc & good)) * 100, n).alias("utility"), F.count_if(~known).alias("unknown"),
+    joined = four.where(F.coalesce("strength", F.lit("unknown")) != "unknown").join(one.select(*key, F.col("correct").alias("__was")), key, "left")
+    ok, esc = ~WRONG(), F.coalesce("routed", F.lit(False)) | ~F.coalesce(PROCEED(), F.lit(True))
+    we, wn = WEAK() & esc, WEAK() & ~esc
+    needed, needless = we & ~F.col("__was"), we & F.col("__was")
+    count = {
+        "weak": WEAK(), "escalated": we, "needed": needed, "needless": needless, "unknown": we & F.col("__was").isNull(), "kept_right": wn & ok, "kept": wn, "right": WEAK() & ok, "strong": STRONG(), "strong_right": STRONG() & ok,
+        "strong_lost": STRONG() & F.col("decision").isin("use_tool", "defer") & F.col("__was"), "auto": wn | STRONG() | (F.col("strength") == "medium"), "auto_right": (wn | STRONG() | (F.col("strength") == "medium")) & ok,
+    }
+    g = joined.groupBy("model").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"n_{k}") for k, c in count.items()])
+    n = lambda k: F.col(f"n_{k}")
+    matched = n("needed") + n("needless")
+    return g.where(n("weak") > 0).select(
+        "model", n("weak").alias("n_weak"), n("escalated").alias("n_escalated"), n("unknown").alias("n_unknown"), ratio(n("escalated"), n("weak")).alias("escalation"), ratio(n("needed"), matched).alias("right_escalation"), ratio(n("needless"), matched).alias("false_escalation"),
+        ratio(n("needless"), matched).alias("weak_accuracy_1"), ratio(n("right"), n("weak")).alias("weak_accuracy_4"), ratio(n("kept_right"), n("kept")).alias("kept_success"), ratio(n("kept"), n("weak")).alias("autonomy"),
+        ratio(n("needed") * 100, n("weak")).alias("prevented"), ratio(n("needless") * 100, n("weak")).alias("blocked"), ratio((n("needed") - n("needless")) * 100, n("weak")).alias("utility"),
+        ratio(n("strong_lost"), n("strong")).alias("strong_udr"), ratio(n("strong_right"), n("strong")).alias("strong_accuracy"), ratio(n("auto_right"), n("auto")).alias("autonomous_accuracy"),
     )
 
 
+def control_finding(real: Column, false: Column) -> Column:
+    """What false scores do to the deferral of weak components."""
+    return F.when(real.isNull() | false.isNull(), "INSUFFICIENT_DATA").when(false > real + 0.10, "A_PROCESSES_SCORES").when(F.abs(false - real) <= 0.05, "B_IGNORES_CONTEXT").when(false < real - 0.10, "C_WORSENED").otherwise("D_AMBIGUOUS")
+
+
+def quality_status(failed: Column) -> Column:
+    return F.when(failed >= 0.30, "partial").when(failed >= 0.10, "acceptable").otherwise("clean")
+
+
 def summarize(df: DataFrame, measures: list[str]) -> DataFrame:
     """Mean, extremes and count over groups of each measure, in long form; nulls are skipped."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("x")).select("x.*")

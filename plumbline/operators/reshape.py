@@ -93,18 +93,19 @@ def pair_stratum(weak_a: Column, weak_b: Column) -> Column:
     return F.when(weak_a & weak_b, "weak_weak").when(~weak_a & ~weak_b, "strong_strong").otherwise("strong_weak")
 
 
-#: Synonyms of decisions.
+# Synonyms of decisions, of machines and of people.
 DECISIONS = {
-    "proceed": ("proceed", "proceeded", "answer", "autonomous"),
-    "use_tool": ("use_tool", "tool", "use tool", "used_tool"),
-    "defer": ("defer", "deferred", "flag", "flag_for_review", "escalate"),
+    "proceed": ("proceed", "answer", "continue"),
+    "use_tool": ("use_tool", "tool", "delegate", "defer_tool"),
+    "flag_for_review": ("flag_for_review", "review", "escalate", "defer", "human_review"),
 }
+HUMAN_DECISIONS = {"PROCEED": ("proceed",), "USE_TOOL": ("use_tool",), "FLAG_FOR_REVIEW": ("flag_for_review", "defer", "flag", "flag_review")}
 
 
-def normalize_decision(text: Column, table=DECISIONS) -> Column:
-    """Canonical decision of a free spelling, else the trimmed lower-case text."""
-    clean = F.lower(F.trim(text))
-    out = clean
+def normalize_decision(text: Column, table=DECISIONS, other: Column | None = None) -> Column:
+    """Canonical decision of a free spelling, else ``other`` or the trimmed lower-case text; null counts as empty."""
+    clean = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    out = clean if other is None else other
     for canonical, words in table.items():
         out = F.when(clean.isin(*words), canonical).otherwise(out)
     return out
@@ -147,26 +148,29 @@ def issue_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def adaptive_thresholds(acc: DataFrame, strong: float = 0.6, weak: float = 0.4, need: int = 2, step: float = 0.05, steps: int = 20) -> DataFrame:
     """Per model the least relaxed (strong, weak) cut-offs with ``need`` domains on either side.
 
-    Each step lowers the strong cut-off or raises the weak one where its side is short, until both are met or the cut-offs meet.
-    As counts only change at the steps, each side's first sufficient step is a grouped minimum over a small grid.
+    In each step the side that is short moves by ``step``. When the cut-offs meet or cross, the last step is taken back on both sides.
+    Counts change at the steps only, so a side's first sufficient step is a grouped minimum over a small grid, and so is the step of crossing.
     """
     grid = acc.select("model", "natural_acc", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
     s, w = F.round(F.lit(strong) - F.col("k") * step, 10), F.round(F.lit(weak) + F.col("k") * step, 10)
     per = grid.groupBy("model", "k").agg(F.count_if(F.col("natural_acc") >= s).alias("ns"), F.count_if(F.col("natural_acc") <= w).alias("nw"))
-    first = per.groupBy("model").agg(F.min(F.when(F.col("ns") >= need, F.col("k"))).alias("ks"), F.min(F.when(F.col("nw") >= need, F.col("k"))).alias("kw"))
-    limit = int(round((strong - weak) / 2 / step, 9))
-    ks, kw = F.least(F.coalesce("ks", F.lit(limit)), F.lit(limit)), F.least(F.coalesce("kw", F.lit(limit)), F.lit(limit))
-    return first.select("model", F.round(strong - ks * step, 10).alias("strong_cut"), F.round(weak + kw * step, 10).alias("weak_cut"))
+    first = per.groupBy("model").agg(F.coalesce(F.min(F.when(F.col("ns") >= need, F.col("k"))), F.lit(steps)).alias("ks"), F.coalesce(F.min(F.when(F.col("nw") >= need, F.col("k"))), F.lit(steps)).alias("kw"))
+    at = lambda t: (F.round(strong - F.least(t, F.col("ks")) * step, 10), F.round(weak + F.least(t, F.col("kw")) * step, 10))
+    met = F.filter(F.sequence(F.lit(1), F.lit(steps)), lambda t: (t <= F.greatest("ks", "kw")) & (at(t)[0] <= at(t)[1]))
+    ended = first.withColumn("t", F.get(met, F.lit(0)))
+    back, last = at(F.col("t")), at(F.greatest("ks", "kw"))
+    return ended.select("model", F.when(F.col("t").isNull(), last[0]).otherwise(F.round(back[0] + step, 10)).alias("strong_cut"), F.when(F.col("t").isNull(), last[1]).otherwise(F.round(back[1] - step, 10)).alias("weak_cut"))
 
 
 def relabel_difficulty(solved: Column, source: Column) -> Column:
-    """What a solver's success says about the source's difficulty label."""
-    return F.when(solved & (source == "hard"), "medium").when(~solved & (source == "easy"), "medium").when(~solved, "hard").otherwise(source)
+    """What a solver's success says about the source's difficulty label: a solved item is easy, or medium if said to be hard; a missed one is hard,
+    or medium if said to be easy."""
+    return F.when(solved, F.when(source == "hard", "medium").otherwise("easy")).when(source == "easy", "medium").otherwise("hard")
 
 
 def triage(agree: Column, ambiguous: Column) -> Column:
-    """Verdict of three verifiers: all agree and none sees ambiguity: verified; two agree: review; else rejected."""
-    return F.when((agree >= 3) & ~ambiguous, "verified").when(agree >= 2, "review").otherwise("rejected")
+    """Verdict of three verifiers from how many agree and whether any sees ambiguity."""
+    return F.when((agree == 3) & ~ambiguous, "PASS").when((agree == 2) & ~ambiguous, "PASS_WITH_NOTE").when((agree >= 2) & ambiguous, "FLAG_AMBIGUOUS").otherwise("FLAG_WRONG_ANSWER")
 
 
 def round_robin(values: list[str], index: Column) -> Column:

@@ -74,7 +74,7 @@ def conformal(spark, d):
     return P.conformal_threshold(_risk(spark, d).where("half = 0"), ["model"], "risk", "correct", 0.43).select("model", F.col("threshold").cast("double").alias("threshold"))
 
 
-@query("budget_threshold", f"WITH s AS (SELECT model, risk AS t, count(*) AS n FROM {_RISK} r GROUP BY ALL), c AS (SELECT model, t, 1 - sum(n) OVER (PARTITION BY model ORDER BY t) / sum(n) OVER (PARTITION BY model)::DOUBLE AS rate FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY abs(rate - 0.3), t) AS rn FROM c) SELECT model, t AS threshold, round(rate, 9) AS rate FROM r WHERE rn = 1")
+@query("budget_threshold", f"WITH s AS (SELECT model, risk AS t, count(*) AS n FROM {_RISK} r GROUP BY ALL), c AS (SELECT model, t, 1 - sum(n) OVER (PARTITION BY model ORDER BY t) / sum(n) OVER (PARTITION BY model)::DOUBLE AS rate FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY abs(rate - 0.3), t) AS rn FROM c) SELECT model, t::DOUBLE AS threshold, round(rate, 9) AS rate FROM r WHERE rn = 1")
 def budget(spark, d):
     return nines(P.budget_threshold(_risk(spark, d), ["model"], "risk", 0.3))
 

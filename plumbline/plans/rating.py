@@ -11,7 +11,7 @@ from .registry import query
 
 C = "{components}"
 _CFR = "count(*) FILTER (strength = 'weak' AND decision = 'proceed' AND NOT correct) / nullif(count(*) FILTER (strength = 'weak'), 0)::DOUBLE"
-_UDR = "count(*) FILTER (strength = 'strong' AND decision <> 'proceed') / nullif(count(*) FILTER (strength = 'strong'), 0)::DOUBLE"
+_UDR = "count(*) FILTER (strength = 'strong' AND decision <> 'proceed' AND correct) / nullif(count(*) FILTER (strength = 'strong'), 0)::DOUBLE"
 
 
 def components(spark, d, *where):
@@ -44,7 +44,7 @@ def definitions(spark, d):
     return nines(components(spark, d).groupBy("model").agg(*[Q.failure(k).alias(k) for k in ("proceed", "unrouted", "autonomous")]))
 
 
-@query("oracle_failure", f"SELECT model, round(count(*) FILTER (strength = 'weak' AND natural_acc >= 0.45 AND NOT correct) / count(*) FILTER (strength = 'weak')::DOUBLE, 9) AS oracle_cfr, round(count(*) FILTER (strength = 'strong' AND natural_acc < 0.45) / count(*) FILTER (strength = 'strong')::DOUBLE, 9) AS oracle_udr FROM {C} c JOIN {{capability}} k USING (model, domain) GROUP BY model")
+@query("oracle_failure", f"SELECT model, round(count(*) FILTER (strength = 'weak' AND natural_acc >= 0.45 AND NOT correct) / count(*) FILTER (strength = 'weak')::DOUBLE, 9) AS oracle_cfr, round(count(*) FILTER (strength = 'strong' AND natural_acc < 0.45 AND correct) / count(*) FILTER (strength = 'strong')::DOUBLE, 9) AS oracle_udr FROM {C} c JOIN {{capability}} k USING (model, domain) GROUP BY model")
 def oracle(spark, d):
     c = components(spark, d).join(frame(spark, d, "capability"), ["model", "domain"])
     c = c.withColumn("decision", F.when(F.col("natural_acc") < 0.45, "defer").otherwise("proceed"))
@@ -53,16 +53,14 @@ def oracle(spark, d):
 
 @query(
     "routing_comparison",
-    f"""WITH c AS (SELECT c.*, natural_acc, abs(wagering_acc - natural_acc) AS gap FROM {C} c JOIN {{capability}} k USING (model, domain)),
-        p AS (SELECT *, 'none' AS policy, false AS m FROM c UNION ALL SELECT *, 'accuracy', natural_acc < 0.46 FROM c UNION ALL SELECT *, 'gap', gap > 0.08 FROM c UNION ALL SELECT *, 'own', decision <> 'proceed' FROM c)
-        SELECT model, policy, count(*)::BIGINT AS n, round(avg(m::INT), 9) AS escalation, round(avg((NOT m)::INT), 9) AS autonomy, round(avg((NOT m AND NOT correct)::INT), 9) AS failure,
-               round(count(*) FILTER (strength = 'weak' AND NOT m AND NOT correct) / count(*) FILTER (strength = 'weak')::DOUBLE, 9) AS weak_failure, round(count(*) FILTER (strength = 'weak' AND m) / count(*) FILTER (strength = 'weak')::DOUBLE, 9) AS weak_escalation
-        FROM p GROUP BY model, policy""",
+    f"""WITH c AS (SELECT c.model, decision = 'proceed' AND NOT correct AS bad, natural_acc, abs(wagering_acc - natural_acc) AS gap FROM {C} c LEFT JOIN {{capability}} k ON k.model = c.model AND k.domain = c.domain AND k.domain <> 'd1' WHERE strength = 'weak'),
+        p AS (SELECT *, 'none' AS policy, false AS m FROM c UNION ALL SELECT *, 'accuracy', coalesce(natural_acc < 0.46, true) FROM c UNION ALL SELECT *, 'gap', coalesce(gap > 0.08, true) FROM c UNION ALL SELECT *, 'oracle', coalesce(natural_acc < 0.5, true) FROM c)
+        SELECT model, policy, count(*)::BIGINT AS n, round(avg((bad AND NOT m)::INT), 9) AS cfr FROM p GROUP BY model, policy""",
 )
 def routing(spark, d):
-    cap = frame(spark, d, "capability").withColumn("gap", F.abs(F.col("wagering_acc") - F.col("natural_acc")))
-    c = components(spark, d).join(cap, ["model", "domain"])
-    return nines(Q.compare(c, ["model"], Q.policies(accuracy_cut=0.46, gap_cut=0.08), Q.WEAK(), F.col("correct")))
+    cap = frame(spark, d, "capability").where("domain <> 'd1'").withColumn("gap", F.abs(F.col("wagering_acc") - F.col("natural_acc")))
+    c = components(spark, d).join(cap, ["model", "domain"], "left")
+    return nines(Q.routing(c, ["model"], Q.policies(accuracy_cut=0.46, gap_cut=0.08)))
 
 
 @query(
@@ -78,12 +76,13 @@ def kdi(spark, d):
 
 @query(
     "behaviour_by_strength",
-    f"SELECT model, round(avg(hedges) FILTER (strength = 'weak'), 9) AS weak_hedges, round(avg(hedges) FILTER (strength = 'strong'), 9) AS strong_hedges, round(avg(decomps) FILTER (strength = 'weak'), 9) AS weak_decomps, round(avg(tokens) FILTER (strength = 'weak') / avg(tokens) FILTER (strength = 'strong'), 9) AS token_ratio, round(avg((error = 'overconfident_precise')::INT), 9) AS overconfident FROM {C} c WHERE paradigm = 3 AND condition = 1 AND circularity_free GROUP BY model",
+    f"SELECT model, domain, round(avg(hedges) FILTER (strength = 'weak'), 9) AS weak_hedges, round(avg(hedges) FILTER (strength = 'strong'), 9) AS strong_hedges, round(avg(decomps) FILTER (strength = 'weak'), 9) AS weak_decomps, round(avg(tokens) FILTER (strength = 'weak') / avg(tokens) FILTER (strength = 'strong'), 9) AS token_ratio, round(avg((error = 'overconfident_precise')::INT) FILTER (strength = 'weak'), 9) AS overconfident FROM {C} c WHERE paradigm = 3 AND condition = 1 AND circularity_free GROUP BY model, domain",
 )
 def behaviour(spark, d):
     c = components(spark, d, R.trial_filter([1], [3]))
     mean = lambda x, w: F.avg(F.when(w, F.col(x)))
-    return nines(c.groupBy("model").agg(mean("hedges", Q.WEAK()).alias("weak_hedges"), mean("hedges", Q.STRONG()).alias("strong_hedges"), mean("decomps", Q.WEAK()).alias("weak_decomps"), (mean("tokens", Q.WEAK()) / mean("tokens", Q.STRONG())).alias("token_ratio"), F.avg((F.col("error") == "overconfident_precise").cast("int")).alias("overconfident")))
+    sure = F.avg(F.when(Q.WEAK(), (F.col("error") == "overconfident_precise").cast("int")))
+    return nines(c.groupBy("model", "domain").agg(mean("hedges", Q.WEAK()).alias("weak_hedges"), mean("hedges", Q.STRONG()).alias("strong_hedges"), mean("decomps", Q.WEAK()).alias("weak_decomps"), F.try_divide(mean("tokens", Q.WEAK()), mean("tokens", Q.STRONG())).alias("token_ratio"), sure.alias("overconfident")))
 
 
 @query("escalation_curve", f"SELECT condition, round(avg(cfr), 9) AS mean_cfr, round(stddev_samp(cfr), 9) AS sd, count(cfr)::BIGINT AS models FROM (SELECT model, condition, {_CFR} AS cfr FROM {C} c WHERE circularity_free GROUP BY ALL) x GROUP BY condition")
@@ -107,19 +106,18 @@ def deferrals(spark, d):
 
 @query(
     "false_score_control",
-    f"SELECT model, round(r, 9) AS real, round(f, 9) AS false_, CASE WHEN abs(r - f) < 0.02 THEN 'unmoved' WHEN f > r THEN 'follows' ELSE 'resists' END AS finding FROM (SELECT model, avg((decision <> 'proceed')::INT) FILTER (NOT false_score) AS r, avg((decision <> 'proceed')::INT) FILTER (false_score) AS f FROM {C} c GROUP BY model) x",
+    f"SELECT model, round(r, 9) AS real, round(f, 9) AS false_, CASE WHEN r IS NULL OR f IS NULL THEN 'INSUFFICIENT_DATA' WHEN f > r + 0.10 THEN 'A_PROCESSES_SCORES' WHEN abs(f - r) <= 0.05 THEN 'B_IGNORES_CONTEXT' WHEN f < r - 0.10 THEN 'C_WORSENED' ELSE 'D_AMBIGUOUS' END AS finding FROM (SELECT model, avg((decision <> 'proceed')::INT) FILTER (NOT false_score) AS r, avg((decision <> 'proceed')::INT) FILTER (false_score) AS f FROM {C} c WHERE condition = 2 AND strength = 'weak' GROUP BY model) x",
 )
 def control(spark, d):
     defer = (~Q.PROCEED()).cast("int")
-    x = components(spark, d).groupBy("model").agg(F.avg(F.when(~F.col("false_score"), defer)).alias("real"), F.avg(F.when(F.col("false_score"), defer)).alias("false_"))
-    finding = F.when(F.abs(F.col("real") - F.col("false_")) < 0.02, "unmoved").when(F.col("false_") > F.col("real"), "follows").otherwise("resists")
-    return x.select("model", F.round("real", 9).alias("real"), F.round("false_", 9).alias("false_"), finding.alias("finding"))
+    x = components(spark, d, "condition = 2").where(Q.WEAK()).groupBy("model").agg(F.avg(F.when(~F.col("false_score"), defer)).alias("real"), F.avg(F.when(F.col("false_score"), defer)).alias("false_"))
+    return x.select("model", F.round("real", 9).alias("real"), F.round("false_", 9).alias("false_"), Q.control_finding(F.col("real"), F.col("false_")).alias("finding"))
 
 
-@query("data_quality", "SELECT model, count(*)::BIGINT AS n, round(avg((NOT api_success)::INT), 9) AS failed, CASE WHEN avg((NOT api_success)::INT) > 0.05 THEN 'poor' WHEN avg((NOT api_success)::INT) > 0.01 THEN 'fair' ELSE 'good' END AS status FROM {trials} t GROUP BY model")
+@query("data_quality", "SELECT model, count(*)::BIGINT AS n, round(avg((NOT api_success)::INT), 9) AS failed, CASE WHEN avg((NOT api_success)::INT) >= 0.3 THEN 'partial' WHEN avg((NOT api_success)::INT) >= 0.1 THEN 'acceptable' ELSE 'clean' END AS status FROM {trials} t GROUP BY model")
 def quality(spark, d):
     bad = F.avg((~F.col("api_success")).cast("int"))
-    return frame(spark, d, "trials").groupBy("model").agg(F.count("*").alias("n"), F.round(bad, 9).alias("failed"), F.when(bad > 0.05, "poor").when(bad > 0.01, "fair").otherwise("good").alias("status"))
+    return frame(spark, d, "trials").groupBy("model").agg(F.count("*").alias("n"), F.round(bad, 9).alias("failed"), Q.quality_status(bad).alias("status"))
 
 
 @query("task_distribution", f"SELECT domain, subcategory, count(DISTINCT task_id)::BIGINT AS tasks, count(DISTINCT task_id) < 500 AS thin FROM {C} c GROUP BY ALL")
@@ -138,28 +136,34 @@ def error_types(spark, d):
     return per.join(total, ["model", "domain"]).select("model", "domain", "error", "n", F.round(F.col("n") / F.col("total"), 9).alias("rate"))
 
 
+# a task has one condition here, so the counterpart under condition 1 is that of the same model, domain, slot and paradigm
 _KEY = "model, domain, slot, paradigm"
-_TRADE = f"""WITH four AS (SELECT * FROM {C} c WHERE condition = 4), one AS (SELECT {_KEY}, arg_min(decision, task_id) AS d1, arg_min(correct, task_id) AS c1 FROM {C} c WHERE condition = 1 AND domain <> 'd3' GROUP BY ALL),
-        j AS (SELECT four.*, d1, c1, decision <> 'proceed' OR routed AS esc FROM four LEFT JOIN one USING ({_KEY})),
-        m AS (SELECT model, count(*)::BIGINT AS n, count(*) FILTER (esc) / count(*)::DOUBLE AS escalation, count(*) FILTER (esc AND NOT c1 AND d1 = 'proceed') / count(*) FILTER (esc)::DOUBLE AS right_escalation, count(*) FILTER (esc AND c1 AND d1 = 'proceed') / count(*) FILTER (esc)::DOUBLE AS false_escalation,
-              100 * count(*) FILTER (esc AND NOT c1 AND d1 = 'proceed') / count(*)::DOUBLE AS prevented, 100 * count(*) FILTER (esc AND c1 AND d1 = 'proceed') / count(*)::DOUBLE AS blocked, count(*) FILTER (c1 IS NULL)::BIGINT AS unknown FROM j GROUP BY model)"""
+_TRADE = f"""WITH four AS (SELECT * FROM {C} c WHERE condition = 4 AND NOT false_score AND strength <> 'unknown'), one AS (SELECT {_KEY}, arg_min(correct, task_id) AS was FROM {C} c WHERE condition = 1 AND NOT false_score AND domain <> 'd2' GROUP BY ALL),
+        j AS (SELECT four.*, was, decision <> 'proceed' OR routed AS esc FROM four LEFT JOIN one USING ({_KEY})),
+        m AS (SELECT model, count(*) FILTER (strength = 'weak')::BIGINT AS n_weak, count(*) FILTER (strength = 'weak' AND esc)::BIGINT AS n_escalated, count(*) FILTER (strength = 'weak' AND esc AND was IS NULL)::BIGINT AS n_unknown,
+              count(*) FILTER (strength = 'weak' AND esc AND NOT was)::DOUBLE AS needed, count(*) FILTER (strength = 'weak' AND esc AND was)::DOUBLE AS needless, avg(correct::INT) FILTER (strength = 'weak') AS weak_accuracy_4, avg(correct::INT) FILTER (strength = 'weak' AND NOT esc) AS kept_success,
+              avg((decision <> 'proceed' AND coalesce(was, false))::INT) FILTER (strength = 'strong') AS strong_udr, avg(correct::INT) FILTER (strength = 'strong') AS strong_accuracy, avg(correct::INT) FILTER (strength <> 'weak' OR NOT esc) AS autonomous_accuracy FROM j GROUP BY model),
+        t AS (SELECT *, n_escalated / n_weak AS escalation, needed / (needed + needless) AS right_escalation, needless / (needed + needless) AS false_escalation, needless / (needed + needless) AS weak_accuracy_1, 1 - n_escalated / n_weak AS autonomy, 100 * needed / n_weak AS prevented, 100 * needless / n_weak AS blocked, 100 * (needed - needless) / n_weak AS utility FROM m)"""
 
 
 def _tradeoff(spark, d):
     key = ["model", "domain", "slot", "paradigm"]
-    c = components(spark, d)
-    one = c.where("condition = 1 and domain <> 'd3'").groupBy(*key).agg(F.min_by("decision", "task_id").alias("decision"), F.min_by("correct", "task_id").alias("correct"))
+    c = components(spark, d, "not false_score")
+    one = c.where("condition = 1 and domain <> 'd2'").groupBy(*key).agg(F.min_by("correct", "task_id").alias("correct"))
     return Q.tradeoff(c.where("condition = 4"), one, key)
 
 
-@query("escalation_tradeoff", _TRADE + " SELECT model, n, round(escalation, 9) AS escalation, round(right_escalation, 9) AS right_escalation, round(false_escalation, 9) AS false_escalation, round(prevented, 9) AS prevented, round(blocked, 9) AS blocked, round(prevented - blocked, 9) AS utility, unknown FROM m")
+_RATES = ("escalation", "right_escalation", "false_escalation", "weak_accuracy_1", "weak_accuracy_4", "kept_success", "autonomy", "prevented", "blocked", "utility", "strong_udr", "strong_accuracy", "autonomous_accuracy")
+
+
+@query("escalation_tradeoff", _TRADE + " SELECT model, n_weak, n_escalated, n_unknown, " + ", ".join(f"round({c}, 9) AS {c}" for c in _RATES) + " FROM t")
 def tradeoff(spark, d):
     return nines(_tradeoff(spark, d))
 
 
-@query("tradeoff_summary", _TRADE + ", l AS (SELECT 'escalation' AS measure, escalation AS v FROM m UNION ALL SELECT 'prevented', prevented FROM m UNION ALL SELECT 'blocked', blocked FROM m) SELECT measure, round(avg(v), 9) AS mean, round(min(v), 9) AS lo, round(max(v), 9) AS hi, count(v)::BIGINT AS n FROM l GROUP BY measure")
+@query("tradeoff_summary", _TRADE + ", l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS measure, {c} AS v FROM t" for c in _RATES) + ") SELECT measure, round(avg(v), 9) AS mean, round(min(v), 9) AS lo, round(max(v), 9) AS hi, count(v)::BIGINT AS n FROM l GROUP BY measure")
 def tradeoffs(spark, d):
-    return nines(Q.summarize(_tradeoff(spark, d), ["escalation", "prevented", "blocked"]))
+    return nines(Q.summarize(_tradeoff(spark, d), list(_RATES)))
 
 
 @query("utility_table", f"SELECT condition, round(avg(autonomy), 9) AS autonomy, round(avg(success), 9) AS success, round(avg(failure), 9) AS failure FROM (SELECT model, condition, avg((decision = 'proceed')::INT) AS autonomy, avg((decision <> 'proceed' OR correct)::INT) AS success, avg((decision = 'proceed' AND NOT correct)::INT) AS failure FROM {C} c GROUP BY ALL) x GROUP BY condition")

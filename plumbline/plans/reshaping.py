@@ -90,12 +90,11 @@ def strata(spark, d):
 
 @query(
     "normalize_decisions",
-    """SELECT CASE trim(lower(s)) WHEN 'flag' THEN 'defer' WHEN 'used_tool' THEN 'use_tool' WHEN 'proceeded' THEN 'proceed' ELSE trim(lower(s)) END AS decision, count(*)::BIGINT AS n
-       FROM (SELECT CASE decision_a WHEN 'defer' THEN ' Flag' WHEN 'use_tool' THEN 'USED_TOOL ' ELSE 'Proceeded' END AS s FROM {trials} t) x GROUP BY decision""",
+    """SELECT CASE decision_a WHEN 'defer' THEN 'flag_for_review' WHEN 'use_tool' THEN 'use_tool' ELSE 'proceed' END AS decision, CASE decision_a WHEN 'defer' THEN '' WHEN 'use_tool' THEN '' ELSE 'PROCEED' END AS human, count(*)::BIGINT AS n FROM {trials} t GROUP BY ALL""",
 )
 def decisions(spark, d):
-    spelled = F.when(F.col("decision_a") == "defer", " Flag").when(F.col("decision_a") == "use_tool", "USED_TOOL ").otherwise("Proceeded")
-    return frame(spark, d, "trials").groupBy(R.normalize_decision(spelled).alias("decision")).agg(F.count("*").alias("n"))
+    spelled = F.when(F.col("decision_a") == "defer", " Human_Review").when(F.col("decision_a") == "use_tool", "DELEGATE ").otherwise("Proceed")
+    return frame(spark, d, "trials").groupBy(R.normalize_decision(spelled).alias("decision"), R.normalize_decision(spelled, R.HUMAN_DECISIONS, F.lit("")).alias("human")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -134,8 +133,10 @@ def task_issues(spark, d):
 
 @query(
     "adaptive_thresholds",
-    """WITH g AS (SELECT model, natural_acc, k FROM {capability} c, range(0, 21) r(k)), p AS (SELECT model, k, count(*) FILTER (natural_acc >= round(0.6 - k * 0.05, 10)) AS ns, count(*) FILTER (natural_acc <= round(0.4 + k * 0.05, 10)) AS nw FROM g GROUP BY ALL)
-       SELECT model, round(0.6 - least(coalesce(min(k) FILTER (ns >= 2), 2), 2) * 0.05, 10)::DOUBLE AS strong_cut, round(0.4 + least(coalesce(min(k) FILTER (nw >= 2), 2), 2) * 0.05, 10)::DOUBLE AS weak_cut FROM p GROUP BY model""",
+    """WITH RECURSIVE l AS (SELECT model, 0.6::DOUBLE AS s, 0.4::DOUBLE AS w, false AS done FROM (SELECT DISTINCT model FROM {capability} c) m
+        UNION ALL SELECT model, CASE WHEN ns < 2 THEN round(s - 0.05, 10) ELSE s END, CASE WHEN nw < 2 THEN round(w + 0.05, 10) ELSE w END, (ns >= 2 AND nw >= 2)
+        FROM (SELECT l.*, (SELECT count(*) FROM {capability} c WHERE c.model = l.model AND natural_acc >= s) AS ns, (SELECT count(*) FROM {capability} c WHERE c.model = l.model AND natural_acc <= w) AS nw FROM l) x WHERE NOT done AND s > w)
+       SELECT model, CASE WHEN done THEN s ELSE round(s + 0.05, 10) END AS strong_cut, CASE WHEN done THEN w ELSE round(w - 0.05, 10) END AS weak_cut FROM l WHERE done OR s <= w""",
 )
 def adaptive(spark, d):
     return R.adaptive_thresholds(frame(spark, d, "capability"))
@@ -154,11 +155,11 @@ def monotone(spark, d):
 
 @query(
     "verification_triage",
-    """SELECT CASE WHEN a >= 3 AND NOT b THEN 'verified' WHEN a >= 2 THEN 'review' ELSE 'rejected' END AS verdict, CASE WHEN s AND f = 'hard' THEN 'medium' WHEN NOT s AND f = 'easy' THEN 'medium' WHEN NOT s THEN 'hard' ELSE f END AS difficulty, count(*)::BIGINT AS n
-       FROM (SELECT question_id % 4 AS a, bool_or(refused) AS b, bool_or(correct) AS s, any_value(difficulty) AS f FROM {measurements} m WHERE correct IS NOT NULL GROUP BY question_id) q GROUP BY ALL""",
+    """SELECT CASE WHEN a = 3 AND NOT b THEN 'PASS' WHEN a = 2 AND NOT b THEN 'PASS_WITH_NOTE' WHEN a >= 2 AND b THEN 'FLAG_AMBIGUOUS' ELSE 'FLAG_WRONG_ANSWER' END AS verdict, CASE WHEN s AND f = 'hard' THEN 'medium' WHEN s THEN 'easy' WHEN f = 'easy' THEN 'medium' ELSE 'hard' END AS difficulty, count(*)::BIGINT AS n
+       FROM (SELECT question_id % 4 AS a, bool_or(refused) AS b, bool_and(correct) AS s, any_value(difficulty) AS f FROM {measurements} m WHERE correct IS NOT NULL GROUP BY question_id) q GROUP BY ALL""",
 )
 def triaged(spark, d):
-    q = frame(spark, d, "measurements").where("correct is not null").groupBy("question_id").agg(F.bool_or("refused").alias("b"), F.bool_or("correct").alias("s"), F.any_value("difficulty").alias("f"))
+    q = frame(spark, d, "measurements").where("correct is not null").groupBy("question_id").agg(F.bool_or("refused").alias("b"), F.bool_and("correct").alias("s"), F.any_value("difficulty").alias("f"))
     return q.groupBy(R.triage(F.col("question_id") % 4, F.col("b")).alias("verdict"), R.relabel_difficulty(F.col("s"), F.col("f")).alias("difficulty")).agg(F.count("*").alias("n"))
 
 

@@ -189,6 +189,13 @@ def behaviour(spark, d):
     return rows.select("text", n(X.count_phrases(a, X.TASK_HEDGES)).alias("hedges_a"), n(X.count_steps(a)).alias("steps_a"), X.numbered_answer(a, "1").alias("answer_a"), n(X.count_phrases(b, X.TASK_HEDGES)).alias("hedges_b"), n(X.count_steps(b)).alias("steps_b"), X.numbered_answer(b, "2").alias("answer_b"))
 
 
+@query("decorated_labels", "SELECT o_orderkey, o_orderpriority AS answer, (o_custkey % 10 + 1)::INT AS bet FROM orders")
+def decorated(spark, d):
+    p = _orders(spark, d, "'## Reply' || chr(10) || '**ANSWER:** `' || o_orderpriority || '`' || chr(10) || '__BET__: ' || CAST(o_custkey % 10 + 1 AS STRING)")
+    p = p.select("o_orderkey", X.parse_wager(X.strip_markdown(F.col("text"))).alias("p"))
+    return p.select("o_orderkey", "p.answer", "p.bet")
+
+
 @query("error_types", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_custkey % 4 > 0 THEN 'cautious_approximate' WHEN o_orderkey % 2 = 0 THEN 'overconfident_precise' ELSE 'cautious_approximate' END AS kind FROM orders")
 def errors(spark, d):
     o = table(spark, d, "orders").withColumn("answer", F.when(F.col("o_orderkey") % 2 == 0, "it is 5").otherwise("a long winding claim of more than six words"))
@@ -270,9 +277,9 @@ def sums(spark, d):
     return inputs(spark, ["expression"], [(s,) for s in _SUMS]).select("expression", calculator()("expression").alias("result"))
 
 
-@query("hash_ranges", "SELECT o_orderkey, (('0x' || substr(sha1(o_orderkey::VARCHAR), 1, 8))::BIGINT % 9000)::BIGINT AS h, regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]+', '_', 'g') AS slug, greatest(0, least(1, o_totalprice / 200000))::DOUBLE AS clamped FROM orders")
+@query("hash_ranges", "SELECT o_orderkey, (('0x' || substr(sha1(o_orderkey::VARCHAR), 1, 8))::BIGINT % 9000)::BIGINT AS h, replace(replace(o_orderpriority || '/v1.5', '.', '-'), '/', '-') AS slug, greatest(0, least(1, o_totalprice / 200000))::DOUBLE AS clamped FROM orders")
 def hashes(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", X.hash_range(F.col("o_orderkey").cast("string"), 9000).alias("h"), X.slug(F.col("o_orderpriority")).alias("slug"), X.clamp(F.col("o_totalprice") / 200000).alias("clamped"))
+    return table(spark, d, "orders").select("o_orderkey", X.hash_range(F.col("o_orderkey").cast("string"), 9000).alias("h"), X.slug(F.concat("o_orderpriority", F.lit("/v1.5"))).alias("slug"), X.clamp(F.col("o_totalprice") / 200000).alias("clamped"))
 
 
 @query(

@@ -147,8 +147,13 @@ def test_adaptive_thresholds_loop(spark):
     got = {r["model"]: (r["strong_cut"], r["weak_cut"]) for r in R.adaptive_thresholds(spark.createDataFrame(acc, "model string, domain string, natural_acc double")).collect()}
     for m in {a[0] for a in acc}:
         v = [a[2] for a in acc if a[0] == m]
-        s = next((round(0.6 - k * 0.05, 10) for k in range(3) if sum(x >= round(0.6 - k * 0.05, 10) for x in v) >= 2), 0.5)
-        w = next((round(0.4 + k * 0.05, 10) for k in range(3) if sum(x <= round(0.4 + k * 0.05, 10) for x in v) >= 2), 0.5)
+        s, w = 0.6, 0.4
+        while True:
+            ns, nw = sum(x >= s for x in v), sum(x <= w for x in v)
+            if ns >= 2 and nw >= 2:
+                break
+            s, w = round(s - 0.05 * (ns < 2), 10), round(w + 0.05 * (nw < 2), 10)
+            if s <= w:
+                s, w = round(s + 0.05, 10), round(w - 0.05, 10)
+                break
         assert got[m] == (s, w)
-
-
