@@ -81,7 +81,8 @@ def majority(df: DataFrame, by: list[str], label: str, first: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.max_by(label, F.struct(F.col("__n"), (-F.col("__f")).alias("f"))).alias("majority"), F.max("__n").alias("votes"))
 
 
-def rank_agreement(df: DataFrame, by: list[str], stated: str, actual: str, n: int) -> DataFrame:
-    """1 - normalised distance between stated and actual places (1 .. n) of each group."""
-    worst = (n * n) // 2
-    return df.groupBy(*by).agg((1 - F.sum(F.abs(F.col(stated) - F.col(actual))) / F.lit(worst)).alias("agreement"))
+def rank_agreement(df: DataFrame, by: list[str], stated: str, actual: str) -> DataFrame:
+    """Spearman's rho of stated and actual places, which have no ties, by group; null below two rows."""
+    d = F.col(stated) - F.col(actual)
+    n = F.count("*")
+    return df.groupBy(*by).agg(F.when(n >= 2, 1 - F.sum(d * d) * 6.0 / F.nullif(n * (n * n - 1), F.lit(0))).alias("agreement"))

@@ -113,8 +113,9 @@ def _ppf(p: Column) -> Column:
 
 
 def spearman_p(rho: Column, n: Column) -> Column:
-    """Two-sided p-value of a rank correlation by the normal approximation."""
-    return F.when(n > 3, 2 * (1 - normal_cdf(F.abs(rho) * F.sqrt(n - 1.0))))
+    """Two-sided p-value of a rank correlation by the normal approximation of its t, which is rho times the root of n - 2; null below
+    three rows, 0 at a perfect correlation."""
+    return F.when(n >= 3, F.when(F.abs(rho) >= 1, 0.0).otherwise(2 * (1 - normal_cdf(F.abs(rho) * F.sqrt(n - 2.0)))))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

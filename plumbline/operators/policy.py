@@ -121,9 +121,30 @@ def three_modes(df: DataFrame, by: list[str], observed: Column, bad: Column, p:
 
 
 def mnar_bounds(df: DataFrame, by: list[str], observed: Column, bad: Column, alpha: float = 0.5) -> DataFrame:
-    """Bounds of the bad share when between none and ``alpha`` of the unobserved rows are bad."""
-    hit, n, m = F.count_if(observed & F.coalesce(bad, F.lit(False))), F.count("*"), F.count_if(~observed)
-    return df.groupBy(*by).agg(ratio(hit, n).alias("lower"), F.try_divide(hit + m * alpha, n.cast("double")).alias("upper"))
+    """Bounds of the bad share when a share ``alpha`` of the unobserved rows would count, with none or all of them bad."""
+    hit, n = F.count_if(observed & F.coalesce(bad, F.lit(False))), F.count_if(observed)
+    extra = F.count_if(~observed) * alpha
+    return df.groupBy(*by).agg(F.try_divide(hit.cast("double"), n + extra).alias("lower"), F.try_divide(hit + extra, n + extra).alias("upper"))
+
+
+def reduction(first: Column, second: Column) -> Column:
+    """Relative fall from the first rate to the second; null unless the first is above 0."""
+    return F.when(first > 0, (first - second) / F.nullif(first, F.lit(0.0)))
+
+
+def condition_reduction(rates: DataFrame, modes: list[str], by: str = "model", condition: str = "condition", first: int = 1, second: int = 4) -> DataFrame:
+    """Mean over groups of each mode's rate under two conditions and of its relative fall: (mode, c_first, c_second, reduction, groups)."""
+    pick = lambda m, k: F.max(F.when(F.col(condition) == k, F.col(m)))
+    wide = rates.groupBy(by).agg(*[x for m in modes for x in (pick(m, first).alias(f"{m}_1"), pick(m, second).alias(f"{m}_2"))])
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"{m}_1").alias("a"), F.col(f"{m}_2").alias("b")) for m in modes])).alias("x")).select("x.*")
+    return long.groupBy("mode").agg(F.avg("a").alias("c_first"), F.avg("b").alias("c_second"), F.avg(reduction(F.col("a"), F.col("b"))).alias("reduction"), F.count("a").alias("groups"))
+
+
+def reduction_bounds(bounds: DataFrame, by: str = "model", condition: str = "condition", first: int = 1, second: int = 4) -> DataFrame:
+    """Worst and best relative fall by group from :func:`mnar_bounds` by (group, condition)."""
+    pick = lambda m, k: F.max(F.when(F.col(condition) == k, F.col(m)))
+    wide = bounds.groupBy(by).agg(pick("lower", first).alias("l1"), pick("upper", first).alias("u1"), pick("lower", second).alias("l2"), pick("upper", second).alias("u2"))
+    return wide.select(by, reduction(F.col("l1"), F.col("u2")).alias("worst"), reduction(F.col("u1"), F.col("l2")).alias("best"))
 
 
 def logistic(df: DataFrame, features: list[str], label: str, ridge: float = 1e-6, rounds: int = 30):

@@ -123,6 +123,16 @@ def quality_status(failed: Column) -> Column:
     return F.when(failed >= 0.30, "partial").when(failed >= 0.10, "acceptable").otherwise("clean")
 
 
+def resolver_quality(components: DataFrame, by: list[str], grid: list[float], weak: Column) -> DataFrame:
+    """Expected success of routed components whose resolver is right with probability q, for each q of a grid.
+
+    Success and weak failure are linear in q, so the grid is applied to a group's counts, not to its rows."""
+    ok, ext = ~WRONG(), F.coalesce("routed", F.lit(False))
+    g = components.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~ext).alias("__a"), F.count_if(~ext & ok).alias("__ac"), F.count_if(ext).alias("__e"), F.count_if(weak).alias("__w"), F.count_if(weak & ext).alias("__we"), F.count_if(weak & ~ext & ~ok).alias("__wf"))
+    g = g.select("*", F.explode(F.array(*[F.lit(float(q)) for q in grid])).alias("q"))
+    return g.select(*by, "q", "n", ratio(F.col("__a"), F.col("n")).alias("autonomy"), ratio(F.col("__ac"), F.col("__a")).alias("autonomous_correct"), ratio(F.col("__ac") + F.col("q") * F.col("__e"), F.col("n")).alias("success"), ratio(F.col("__wf") + (1 - F.col("q")) * F.col("__we"), F.col("__w")).alias("weak_failure"))
+
+
 def summarize(df: DataFrame, measures: list[str]) -> DataFrame:
     """Mean, extremes and count over groups of each measure, in long form; nulls are skipped."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("x")).select("x.*")

@@ -46,7 +46,7 @@ def channel_signal(scale: str = "raw") -> Column:
     no tool 1, some tool 0.5, and 1 - hedges/5 floored at 0.
     """
     ch = F.col("channel")
-    chosen = F.when(F.col("choice") == "A", 1.0).otherwise(0.0)
+    chosen = F.when(F.col("choice") == "A", 1.0).when(F.col("choice") == "B", 0.0)
     stay = F.when(F.col("skipped"), 0.0).otherwise(1.0)
     if scale == "raw":
         return F.when(ch == "1", F.col("bet").cast("double")).when(ch == "2", stay).when(ch == "3", chosen).when(ch == "4", 1.0 / (1 + F.col("n_tools"))).when(ch == "5", 1.0 / (1 + F.col("n_hedges")))

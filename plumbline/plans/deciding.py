@@ -138,21 +138,33 @@ def modes(spark, d):
 @query(
     "weak_failure_modes",
     f"""WITH c AS (SELECT *, api_success AS obs, NOT correct AND NOT routed AS bad FROM {_MARKED} m WHERE weak), p AS (SELECT model, avg(obs::INT) AS p FROM c GROUP BY model), j AS (SELECT c.*, least(1 / greatest(p, 1e-3), 20) AS w FROM c JOIN p USING (model)),
-        e AS (SELECT condition, count(*) FILTER (obs AND bad) / count(*) FILTER (obs)::DOUBLE AS complete, count(*) FILTER (NOT obs OR bad) / count(*)::DOUBLE AS conservative, sum(w) FILTER (obs AND bad) / sum(w) FILTER (obs) AS ipw FROM j GROUP BY condition)
-        SELECT round(a.complete, 9) AS c1, round(b.complete, 9) AS c4, round(a.complete - b.complete, 9) AS complete_reduction, round(a.conservative - b.conservative, 9) AS conservative_reduction, round(a.ipw - b.ipw, 8) AS ipw_reduction FROM e a JOIN e b ON a.condition = 1 AND b.condition = 4""",
+        e AS (SELECT model, condition, count(*) FILTER (obs AND bad) / count(*) FILTER (obs)::DOUBLE AS complete, count(*) FILTER (NOT obs OR bad) / count(*)::DOUBLE AS conservative, sum(w) FILTER (obs AND bad) / sum(w) FILTER (obs) AS ipw FROM j GROUP BY ALL),
+        l AS (SELECT 'complete' AS mode, a.complete AS a, b.complete AS b FROM e a JOIN e b ON a.model = b.model AND a.condition = 1 AND b.condition = 4 UNION ALL SELECT 'conservative', a.conservative, b.conservative FROM e a JOIN e b ON a.model = b.model AND a.condition = 1 AND b.condition = 4
+              UNION ALL SELECT 'ipw', a.ipw, b.ipw FROM e a JOIN e b ON a.model = b.model AND a.condition = 1 AND b.condition = 4)
+        SELECT mode, round(avg(a), 8) AS c_first, round(avg(b), 8) AS c_second, round(avg((a - b) / a), 8) AS reduction, count(a)::BIGINT AS groups FROM l GROUP BY mode""",
 )
 def weak_modes(spark, d):
-    c = _marked(spark, d).where("weak")
-    c = P.propensity(c, ["model"], F.col("api_success"))
-    e = P.three_modes(c, ["condition"], F.col("api_success"), ~F.col("correct") & ~F.col("routed"), F.col("p_obs"))
-    pick = lambda m, k: F.max(F.when(F.col("condition") == k, F.col(m)))
-    cut = lambda m, n: F.round(pick(m, 1) - pick(m, 4), n).alias(f"{m}_reduction")
-    return e.agg(F.round(pick("complete", 1), 9).alias("c1"), F.round(pick("complete", 4), 9).alias("c4"), cut("complete", 9), cut("conservative", 9), cut("ipw", 8))
+    c = P.propensity(_marked(spark, d).where("weak"), ["model"], F.col("api_success"))
+    e = P.three_modes(c, ["model", "condition"], F.col("api_success"), ~F.col("correct") & ~F.col("routed"), F.col("p_obs"))
+    r = P.condition_reduction(e, ["complete", "conservative", "ipw"])
+    return r.select("mode", *[F.round(x, 8).alias(x) for x in ("c_first", "c_second", "reduction")], "groups")
 
 
-@query("mnar_bounds", f"SELECT condition, round(count(*) FILTER (api_success AND NOT correct AND NOT routed) / count(*)::DOUBLE, 9) AS lower, round((count(*) FILTER (api_success AND NOT correct AND NOT routed) + 0.5 * count(*) FILTER (NOT api_success)) / count(*)::DOUBLE, 9) AS upper FROM {_MARKED} m WHERE weak GROUP BY condition")
+_BOUNDS = f"SELECT model, condition, h / (n + 0.5 * m) AS lower, (h + 0.5 * m) / (n + 0.5 * m) AS upper FROM (SELECT model, condition, count(*) FILTER (api_success AND NOT correct AND NOT routed)::DOUBLE AS h, count(*) FILTER (api_success)::DOUBLE AS n, count(*) FILTER (NOT api_success)::DOUBLE AS m FROM {_MARKED} m WHERE weak GROUP BY ALL) x"
+
+
+def _bounds(spark, d):
+    return P.mnar_bounds(_marked(spark, d).where("weak"), ["model", "condition"], F.col("api_success"), ~F.col("correct") & ~F.col("routed"))
+
+
+@query("mnar_bounds", f"SELECT model, condition, round(lower, 9) AS lower, round(upper, 9) AS upper FROM ({_BOUNDS}) b")
 def mnar(spark, d):
-    return nines(P.mnar_bounds(_marked(spark, d).where("weak"), ["condition"], F.col("api_success"), ~F.col("correct") & ~F.col("routed")))
+    return nines(_bounds(spark, d))
+
+
+@query("mnar_reduction", f"WITH b AS ({_BOUNDS}) SELECT a.model, round((a.lower - b.upper) / a.lower, 9) AS worst, round((a.upper - b.lower) / a.upper, 9) AS best FROM b a JOIN b ON a.model = b.model AND a.condition = 1 AND b.condition = 4")
+def mnar_fall(spark, d):
+    return nines(P.reduction_bounds(_bounds(spark, d)))
 
 
 @query("logistic_missingness")

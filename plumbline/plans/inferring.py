@@ -37,7 +37,7 @@ _TAIL = "(0.254829592 * t - 0.284496736 * t * t + 1.421413741 * t * t * t - 1.45
 
 @query(
     "spearman_p_values",
-    f"SELECT model, round(2 * ({_TAIL}) / 2, 7) AS p FROM (SELECT model, abs(corr(a, b)) * sqrt(count(*) - 1.0) AS z, 1 / (1 + 0.3275911 * abs(corr(a, b)) * sqrt(count(*) - 1.0) / sqrt(2.0)) AS t FROM (SELECT model, {_RANK.format(by='model', x='length')} AS a, {_RANK.format(by='model', x='conf')} AS b FROM {{measurements}} m) x GROUP BY model) y",
+    f"SELECT model, round(2 * ({_TAIL}) / 2, 7) AS p FROM (SELECT model, abs(corr(a, b)) * sqrt(count(*) - 2.0) AS z, 1 / (1 + 0.3275911 * abs(corr(a, b)) * sqrt(count(*) - 2.0) / sqrt(2.0)) AS t FROM (SELECT model, {_RANK.format(by='model', x='length')} AS a, {_RANK.format(by='model', x='conf')} AS b FROM {{measurements}} m) x GROUP BY model) y",
 )
 def spearman_p(spark, d):
     s = S.spearman(frame(spark, d, "measurements"), ["model"], "length", "conf")

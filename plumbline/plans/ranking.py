@@ -73,13 +73,13 @@ def majority(spark, d):
     return K.majority(r, ["doc_id"], "label", "seen")
 
 
-@query("stated_rank_agreement", "WITH r AS (SELECT model, domain, row_number() OVER (PARTITION BY model ORDER BY natural_acc DESC, domain) AS a, row_number() OVER (PARTITION BY model ORDER BY wagering_acc DESC, domain) AS s FROM {capability} c) SELECT model, round(1 - sum(abs(a - s)) / 32.0, 9)::DOUBLE AS agreement FROM r GROUP BY model")
+@query("stated_rank_agreement", "WITH r AS (SELECT model, domain, row_number() OVER (PARTITION BY model ORDER BY natural_acc DESC, domain) AS a, row_number() OVER (PARTITION BY model ORDER BY wagering_acc DESC, domain) AS s FROM {capability} c) SELECT model, round(corr(a, s), 9) AS agreement FROM r GROUP BY model")
 def stated(spark, d):
     from pyspark.sql import window as W
 
     w = W.Window.partitionBy("model")
     r = frame(spark, d, "capability").withColumn("a", F.row_number().over(w.orderBy(F.col("natural_acc").desc(), "domain"))).withColumn("s", F.row_number().over(w.orderBy(F.col("wagering_acc").desc(), "domain")))
-    return nines(K.rank_agreement(r, ["model"], "s", "a", 8))
+    return nines(K.rank_agreement(r, ["model"], "s", "a"))
 
 
 @query("demeaned", "SELECT event_id, round(conf - avg(conf) OVER (PARTITION BY model), 9) AS centred FROM {measurements} m WHERE channel = '3'")

@@ -179,12 +179,9 @@ def providers(spark, d):
     return nines(per.groupBy(provider.alias("provider")).agg(F.avg("cfr").alias("mean_cfr"), F.count("*").alias("models")))
 
 
-@query("resolver_sensitivity", f"SELECT q / 100.0::DOUBLE AS q, condition, round(avg(CASE WHEN decision = 'proceed' THEN correct::INT ELSE q / 100.0 END), 9) AS success FROM {C} c, (VALUES (50), (60), (70), (80), (90), (100)) g(q) GROUP BY q, condition")
+@query("resolver_sensitivity", f"SELECT q / 100.0::DOUBLE AS q, condition, count(*)::BIGINT AS n, round(avg((NOT routed)::INT), 9) AS autonomy, round(avg(correct::INT) FILTER (NOT routed), 9) AS autonomous_correct, round(avg(CASE WHEN routed THEN q / 100.0::DOUBLE ELSE correct::INT END), 9) AS success, round(avg(CASE WHEN routed THEN 1 - q / 100.0::DOUBLE ELSE (NOT correct)::INT END) FILTER (strength = 'weak'), 9) AS weak_failure FROM {C} c, (VALUES (50), (60), (70), (80), (90), (100)) g(q) GROUP BY q, condition")
 def resolver(spark, d):
-    # success is linear in q, so the grid is applied to two sums a group, not to the rows
-    per = components(spark, d).groupBy("condition").agg(F.count("*").alias("n"), F.count_if(Q.PROCEED() & F.col("correct")).alias("own"), F.count_if(~Q.PROCEED()).alias("sent"))
-    grid = F.explode(F.array(*[F.lit(q / 100) for q in (50, 60, 70, 80, 90, 100)]))
-    return per.select("condition", "n", "own", "sent", grid.alias("q")).select("q", "condition", F.round((F.col("own") + F.col("sent") * F.col("q")) / F.col("n"), 9).alias("success"))
+    return nines(Q.resolver_quality(components(spark, d), ["condition"], [q / 100 for q in (50, 60, 70, 80, 90, 100)], Q.WEAK()))
 
 
 @query("packet_metrics", """WITH o AS (SELECT request_id, arg_max(final_correct, l_linenumber * 1000000000000 + l_partkey * 10000 + l_suppkey) AS ok FROM {outcomes} o GROUP BY request_id), c AS (SELECT request_id, max(cost) AS cost, max(latency) AS latency FROM {costs} c GROUP BY request_id)
