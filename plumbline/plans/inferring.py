@@ -210,3 +210,50 @@ def adjusted(spark, d):
     c = m.join(q, "question_id").groupBy("model").agg(S.pearson(F.col("conf"), F.col("bet")).alias("xy"), S.pearson(F.col("conf"), F.col("z")).alias("xz"), S.pearson(F.col("bet"), F.col("z")).alias("yz"))
     return c.select("model", F.round(S.partial(F.col("xy"), F.col("xz"), F.col("yz")), 8).alias("r"))
 
+
+
+@query("mean_pairwise_pearson", "WITH q AS (SELECT model, question_id, channel, avg(conf) AS v FROM {measurements} m GROUP BY ALL), c AS (SELECT a.model, a.channel AS x, b.channel AS y, corr(a.v, b.v) AS r FROM q a JOIN q b ON a.model = b.model AND a.question_id = b.question_id AND a.channel < b.channel GROUP BY ALL HAVING count(*) >= 3) SELECT model, round(avg(r), 8) AS mci, count(r)::BIGINT AS pairs FROM c GROUP BY model")
+def mean_pearson(spark, d):
+    p = M.paired_channels(frame(spark, d, "measurements"), ["model", "question_id"], "channel", "conf")
+    c = p.groupBy("model", "ch_a", "ch_b").agg(S.pearson(F.col("x"), F.col("y"), 3).alias("r"))
+    return eights(c.groupBy("model").agg(F.avg("r").alias("mci"), F.count("r").alias("pairs")))
+
+
+@query(
+    "adjusted_convergence",
+    """WITH z AS (SELECT question_id, avg(correct::INT) AS z FROM {measurements} m WHERE correct IS NOT NULL GROUP BY question_id), q AS (SELECT model, question_id, channel, avg(conf) AS v FROM {measurements} m GROUP BY ALL),
+       p AS (SELECT a.model, a.channel AS x, b.channel AS y, a.v AS u, b.v AS w, z FROM q a JOIN q b ON a.model = b.model AND a.question_id = b.question_id AND a.channel < b.channel JOIN z ON z.question_id = a.question_id),
+       r AS (SELECT model, x, y, """ + ", ".join(_RANK.format(by="model, x, y", x=c) + f" AS r{c}" for c in "uwz") + """ FROM p), c AS (SELECT model, x, y, corr(ru, rw) AS a, corr(ru, rz) AS b, corr(rw, rz) AS c FROM r GROUP BY ALL)
+       SELECT model, round(avg((a - b * c) / sqrt((1 - b * b) * (1 - c * c))), 8) AS mci, count(*)::BIGINT AS pairs FROM c GROUP BY model""",
+)
+def adjusted_convergence(spark, d):
+    """Partial rank correlations of channel pairs given the question's difficulty, averaged."""
+    from ..functions.ranks import average_ranks
+
+    m = frame(spark, d, "measurements")
+    z = m.where("correct is not null").groupBy("question_id").agg(F.avg(F.col("correct").cast("int")).alias("z"))
+    p = M.paired_channels(m, ["model", "question_id"], "channel", "conf").join(z, "question_id")
+    by = ["model", "ch_a", "ch_b"]
+    for c in ("x", "y", "z"):
+        p = average_ranks(p, c, by, f"r{c}")
+    r = lambda a, b: S.pearson(F.col(f"r{a}"), F.col(f"r{b}"), 3)
+    c = p.groupBy(*by).agg(r("x", "y").alias("a"), r("x", "z").alias("b"), r("y", "z").alias("c"))
+    c = c.select("model", S.partial(F.col("a"), F.col("b"), F.col("c")).alias("r"))
+    return eights(c.groupBy("model").agg(F.avg("r").alias("mci"), F.count("r").alias("pairs")))
+
+
+@query(
+    "correlation_bundle",
+    f"""WITH f AS (SELECT model, domain, {_CFR} AS cfr FROM {C} c WHERE strength = 'weak' GROUP BY ALL), j AS (SELECT f.*, abs(wagering_acc - natural_acc) AS gap, natural_acc AS acc FROM f JOIN {{capability}} k USING (model, domain)),
+        r AS (SELECT *, {_RANK.format(by='1', x='cfr')} AS rc, {_RANK.format(by='1', x='gap')} AS rg, cfr - avg(cfr) OVER (PARTITION BY model) AS dc, gap - avg(gap) OVER (PARTITION BY model) AS dg FROM j), c AS (SELECT count(*)::BIGINT AS n, corr(cfr, gap) AS r, corr(rc, rg) AS rho, corr(cfr, acc) AS ca, corr(gap, acc) AS ga, corr(dc, dg) AS within FROM r)
+        SELECT n, round(r, 8) AS r, round(rho, 8) AS rho, round((r - ca * ga) / sqrt((1 - ca * ca) * (1 - ga * ga)), 8) AS partial, round(within, 8) AS within FROM c""",
+)
+def bundle(spark, d):
+    """Failure rate against calibration gap over (model, domain): Pearson, Spearman, partial given accuracy, and within models."""
+    weak = components(spark, d).where("strength = 'weak'")
+    f = weak.groupBy("model", "domain").agg((F.count_if((F.col("decision") == "proceed") & ~F.col("correct")) / F.count("*")).alias("cfr")).join(frame(spark, d, "capability"), ["model", "domain"])
+    f = f.select("model", "cfr", F.abs(F.col("wagering_acc") - F.col("natural_acc")).alias("gap"), F.col("natural_acc").alias("acc"), F.lit(0).alias("g"))
+    means = f.groupBy("model").agg(F.avg("cfr").alias("mc"), F.avg("gap").alias("mg"))
+    c = f.join(means, "model").groupBy("g").agg(F.count("*").alias("n"), S.pearson(F.col("cfr"), F.col("gap")).alias("r"), S.pearson(F.col("cfr"), F.col("acc")).alias("ca"), S.pearson(F.col("gap"), F.col("acc")).alias("ga"), S.pearson(F.col("cfr") - F.col("mc"), F.col("gap") - F.col("mg")).alias("within"))
+    rho = S.spearman(f, ["g"], "cfr", "gap").select("g", "rho")
+    return eights(c.join(rho, "g").select("n", "r", "rho", S.partial(F.col("r"), F.col("ca"), F.col("ga")).alias("partial"), "within"))
