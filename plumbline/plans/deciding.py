@@ -185,3 +185,28 @@ def platt(spark, d):
     return nines(held.groupBy("model").agg(M.brier(F.col("p"), F.col("wrong")).alias("brier"), F.avg("p").alias("mean_p"), F.avg(F.col("wrong").cast("int")).alias("rate")))
 
 
+
+
+@query(
+    "budget_matched_strategies",
+    f"""WITH c AS (SELECT * FROM {_MARKED} m WHERE condition = 1 AND paradigm IN (1, 2) AND circularity_free), e AS (SELECT model, min(hedges) AS hl, max(hedges) AS hh, min(decomps) AS dl, max(decomps) AS dh, min(tokens) AS tl, max(tokens) AS th FROM c GROUP BY model),
+        s AS (SELECT c.*, 0.5::DOUBLE * ((hedges - hl) / (hh - hl)::DOUBLE) + 0.3::DOUBLE * ((decomps - dl) / (dh - dl)::DOUBLE) + 0.2::DOUBLE * ((tokens - tl) / (th - tl)::DOUBLE) AS u, task_id * 2 + (slot = 'b')::INT AS id FROM c JOIN e USING (model)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY u DESC, id DESC) AS rn, avg(weak::INT) OVER (PARTITION BY model) * count(*) OVER (PARTITION BY model) AS k FROM s),
+        p AS (SELECT *, 'none' AS policy, false AS m FROM r UNION ALL SELECT *, 'domain', weak FROM r UNION ALL SELECT *, 'confidence', rn <= round_even(k, 0) FROM r),
+        v AS (SELECT model, policy, avg(m::INT) AS escalation, avg((NOT m AND NOT correct)::INT) AS failure, count(*) FILTER (weak AND NOT m AND NOT correct) / count(*) FILTER (weak)::DOUBLE AS weak_failure FROM p GROUP BY ALL)
+        SELECT v.model, v.policy, round(v.escalation, 9) AS escalation, round(v.failure, 9) AS failure, round(v.weak_failure, 9) AS weak_failure, round((n.weak_failure - v.weak_failure) / n.weak_failure, 9) AS reduction FROM v JOIN v n ON n.model = v.model AND n.policy = 'none'""",
+)
+def budget_matched(spark, d):
+    """Signals, scaled and weighted into an uncertainty; its riskiest rows escalated as often as the weak domains are; against doing nothing."""
+    from ..functions.ranks import top_share
+    from ..operators import reshape as R
+
+    c = _marked(spark, d).where(R.trial_filter([1], [1, 2]))
+    for name in ("hedges", "decomps", "tokens"):
+        c = R.minmax(c, name, ["model"], f"{name}_n", 0.0)
+    c = c.withColumn("u", R.composite(F.col("hedges_n"), F.col("decomps_n"), F.col("tokens_n"))).withColumn("id", F.col("task_id") * 2 + (F.col("slot") == "b").cast("int"))
+    rate = c.groupBy("model").agg(F.avg(F.col("weak").cast("int")).alias("rate"))
+    c = top_share(c.join(rate, "model"), ["model"], "u", "id", F.col("rate"))
+    v = Q.compare(c, ["model"], {"none": F.lit(False), "domain": F.col("weak"), "confidence": F.col("top")}, F.col("weak"), F.col("correct"))
+    base = v.where("policy = 'none'").select("model", F.col("weak_failure").alias("base"))
+    return nines(v.join(base, "model").select("model", "policy", "escalation", "failure", "weak_failure", P.reduction(F.col("base"), F.col("weak_failure")).alias("reduction")))
