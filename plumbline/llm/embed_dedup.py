@@ -133,7 +133,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     found = checkpoint(dealt.mapInArrow(_links, "rep long, links long, low long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = checkpoint(components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")).where("u <> v")))
-    lowest = joined.join(classes.select(F.col("rep").alias("node"), "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("lowest"))
+    lowest = checkpoint(joined.join(classes.select(F.col("rep").alias("node"), "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("lowest")))
     joined = joined.join(lowest, "component").select(F.col("node").alias("rep"), "lowest")
     known = classes.join(links, "rep", "left").join(joined, "rep", "left").select("label", "embedding", F.coalesce("lowest", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("vec_id", F.col("label").alias("l"), F.col("embedding").alias("e")).join(known, (F.col("l") == known["label"]) & (F.col("e") == known["embedding"]), "left")

@@ -218,7 +218,7 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = checkpoint(components(exact.select(F.col("rep").alias("u"), F.col("low").alias("v")).where("u <> v")))
     named = joined.join(classes.select(F.col("rep").alias("node"), "first_id"), "node")
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("lowest"))
+    lowest = checkpoint(named.groupBy("component").agg(F.min("first_id").alias("lowest")))
     joined = joined.join(lowest, "component").select(F.col("node").alias("rep"), "lowest")
     found = classes.select("rep", "set_key", "first_id", "copies").join(links, "rep", "left").join(joined, "rep", "left")
     found = found.select(F.col("set_key").alias("__key"), F.coalesce("lowest", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
