@@ -90,9 +90,11 @@ def pair_blocks(df: DataFrame, key: str, row: str, size: str, block: int) -> Dat
 
 
 # ---------------------------------------------------------------------------------------------------------
-# Word and shingle hashes. Words are runs of anything but ASCII white space, compared in lower case.
+# Word and shingle hashes. Words are runs of ASCII letters, digits and anything beyond ASCII, compared in lower case, so that case
+# and punctuation make no difference. A text that has none but is not blank is split at ASCII white space instead.
 
-_BLANK = bytes(b if b not in (9, 10, 11, 12, 13) else 32 for b in range(256))
+_BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_SPACE = bytes(b if b not in (9, 10, 11, 12, 13) else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PIECE = 1 << 20
@@ -162,6 +164,9 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
         held.append(data)
         size += len(data) + 1
     flush()
+    for i, (text, hashes) in enumerate(zip(texts, out)):
+        if text and not len(hashes):
+            out[i] = np.concatenate([_piece_hashes(p)[0] for p in _pieces(text.lower().encode("utf-8", "surrogatepass").translate(_SPACE))])
     return out
 
 

@@ -168,7 +168,8 @@ def _exact(batches):
 def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """Self-join of ``docs`` (doc_id long, text) on Jaccard similarity >= 0.8 of their sets of five-word shingles.
 
-    Words are runs of anything but ASCII white space, in lower case. One row per row of ``docs``: doc_id, class_id
+    Words are runs of ASCII letters and digits and anything beyond ASCII, in lower case, so case and punctuation do not matter; a text of other
+    characters only is split at white space. One row per row of ``docs``: doc_id, class_id
     (the smallest doc_id reachable over links, itself included), n_links (other rows linked directly) and
     n_shingles. Texts of one to four words have one shingle, the whole text. Null, empty or blank texts have
     none and link with nothing, as have rows whose doc_id is null (class_id null for these). Repeated rows count
@@ -231,8 +232,10 @@ def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH RECURSIVE w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+WITH RECURSIVE w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS v,
+       list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS b FROM documents),
+o AS (SELECT doc_id, CASE WHEN len(v) > 0 THEN v ELSE b END AS w FROM w),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM o),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k * 10 >= 8 * (x.n + y.n - k)),

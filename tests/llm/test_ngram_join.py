@@ -6,7 +6,7 @@ from plumbline.llm.common import shingle_set, word_hashes
 
 
 def shingles(text):
-    words = [w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if w]
+    words = [w for w in re.split("[^a-z0-9\x80-\U0010ffff]+", (text or "").lower()) if w] or [w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if w]
     return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
@@ -54,7 +54,7 @@ def test_brute_force(make_docs, prose):
         for k in range(rng.choice([1, 1, 2, 4])):
             rows.append((n, base if k == 1 else changed(base, k * len(base.split()) // 100, rng)))
             n += 1
-    rows += [(n, "One two"), (n + 1, "one  TWO\n"), (n + 2, ""), (n + 3, None), (n + 4, " \t"), (None, rows[0][1]), (0, rows[0][1]), (n + 5, "x " * 5000), (n + 6, "a" * 3000000)]
+    rows += [(n, "One two"), (n + 1, "one  TWO\n"), (n + 2, ""), (n + 3, None), (n + 4, " \t"), (None, rows[0][1]), (0, rows[0][1]), (n + 5, "x " * 5000), (n + 6, "a" * 3000000), (n + 7, "?! ... -"), (n + 8, "?! ... -"), (n + 9, "One, two!")]
     assert got(make_docs(rows)) == brute(rows)
 
 
