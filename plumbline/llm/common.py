@@ -44,6 +44,15 @@ def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return numbered.join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.col("__at")).drop("__id", "__part", "__at", "__start")
 
 
+#: Rows that one task of a small iterative step takes.
+ROWS_A_TASK = 100_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its rows fill, so that a step over few rows leaves few files."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 40) -> DataFrame:
     """(node, component) of every node in ``edges``; component is the smallest node reachable.
 
@@ -59,14 +68,16 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
 
     last = signature(now)
     for _ in range(most_rounds):
+        rows = last[0]
+        now = sized(now, rows)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # checkpointed minima let adaptive execution split the edges of a hub
-        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = checkpoint(sized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), 2 * rows))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = checkpoint(large)
-        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = checkpoint(sized(large, 2 * rows))
+        least = checkpoint(sized(large.groupBy("u").agg(F.min("v").alias("m")), 2 * rows))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = checkpoint(small)
+        now = checkpoint(sized(small, 2 * rows))
         this = signature(now)
         if this == last:
             break
