@@ -194,12 +194,10 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     start = F.transform(F.sequence(F.lit(1), F.lit(runs_needed(recall))), lambda r: F.xxhash64(r, token(r)))
     front = classes.select("rep", F.explode(start).alias("key"))
     buckets = None
-    rows = None
     for depth in range(1, DEPTH + 1):
-        fit = lambda df: df if rows is None else sized(df, rows)  # noqa: E731, B023
         # a checkpointed side lets adaptive execution split a hot key of the other one
-        counts = checkpoint(fit(front.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")))
-        multi = checkpoint(fit(front.join(counts, "key")))
+        counts = checkpoint(front.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        multi = checkpoint(front.join(counts, "key"))
         last = depth == DEPTH
         ready = multi if last else multi.where(F.col("size") <= SMALL)
         buckets = ready if buckets is None else buckets.union(ready)
@@ -207,7 +205,8 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         rows = 0 if last else large.count()
         if not rows:
             break
-        front = sized(large.join(classes.select("rep", "coords"), "rep"), rows).select("rep", F.xxhash64("key", token(F.col("key"))).alias("key"))
+        front = large.join(classes.select("rep", "coords"), "rep").select("rep", F.xxhash64("key", token(F.col("key"))).alias("key"))
+        front = sized(checkpoint(front), rows)
     dealt = pair_blocks(buckets.join(classes.select("rep", "sketch"), "rep"), "key", "rep", "size", BLOCK)
     dealt = dealt.select("key", "lo", "hi", "rep", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     clusters = components(dealt.mapInArrow(_coarse, "u long, v long"))
