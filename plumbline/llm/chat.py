@@ -60,8 +60,8 @@ def render(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + len(OPEN + MIDDLE) + F.length("r"))
     span = F.when(F.col("role") == "assistant", F.struct(F.col("at").cast("long").alias("start"), F.length("t").cast("long").alias("length")))
     # the spans are an aggregate of their own, so a reader of the text alone does not pay for the window
-    by_conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "ord", "role", "text", "r", "t"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss"))
-    piece = lambda t: F.concat(F.lit(OPEN), t["r"], F.lit(MIDDLE), t["t"], F.lit(CLOSE))
+    by_conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "ord", "role", "text"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss"))
+    piece = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE), escape(t["text"]), F.lit(CLOSE))
     return by_conv.select("conv_id", F.array_join(F.transform("turns", piece), "").alias("formatted"), "loss")
 
 
