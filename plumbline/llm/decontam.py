@@ -19,7 +19,12 @@ LITERAL = 2
 #: Characters of benchmark text indexed at once; a larger benchmark is worked through in hashed blocks.
 BLOCK_CHARS = 8_000_000
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£¥°]")
+#: Shortest item, in tokens, that is looked for inside longer documents; one or two words are no sign of a leak.
+SHORTEST = 3
+
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han): each letter is a token.
+_UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[^\W\d_{_UNSPACED}]+|[^\W\d_]|[%$€£¥°]")
 _SENTENCE_END = re.compile(r"(?:^|[.!?:;\n\"“(])\s*$")
 UNITS = frozenset(
     "% $ € £ ¥ ° mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces oz pound pounds lb lbs ton tons tonnes "
@@ -28,6 +33,7 @@ UNITS = frozenset(
 )
 _NUMBER, _UNIT, _NAME, _FIRST = 1, 2, 3, 4
 _MULTIPLIER = np.int64(0x5851F42D4C957F2D)
+_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
 
 def tokens(text: str | None) -> tuple[list[str], list[bool]]:
@@ -66,8 +72,20 @@ def _windows(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spans(ids: np.ndarray, lengths: list[int]):
+    """For each length the places whose ``length`` ids are all known, and the hashes of those ids."""
+    powers = np.cumprod(np.full(len(ids), _MULTIPLIER.view(np.uint64)))
+    back = np.cumprod(np.full(len(ids), _INVERSE))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids.astype(np.uint64) * powers)))
+    gaps = np.concatenate((np.zeros(1, np.int64), np.cumsum(ids == 0)))
+    for n in lengths:
+        if n <= len(ids):
+            place = np.flatnonzero(gaps[n:] == gaps[:-n])
+            yield n, place, (sums[place + n] - sums[place]) * back[place]
+
+
 class Index:
-    """The windows of benchmark items, with literal and with name placeholders."""
+    """The windows of benchmark items, with literal and with name placeholders, and whole templates of items that have no window."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words = _Words()
@@ -77,6 +95,7 @@ class Index:
         self.forms: list[np.ndarray] = []
         self.whole: dict[tuple[str, ...], list[int]] = {}
         self.total = np.zeros(len(items), np.int64)
+        self.templates: dict[bool, dict[int, list[tuple[int, int]]]] = {False: {}, True: {}}
         self.named = False
         keys, owners, places = [], [], []
         for at, (_, text) in enumerate(items):
@@ -99,13 +118,18 @@ class Index:
                     owners.append(np.full(len(place), at))
                     places.append(place)
             if not usable and words:
-                self.whole.setdefault(tuple(words), []).append(at)
+                if len(words) < SHORTEST:
+                    self.whole.setdefault(tuple(words), []).append(at)
+                else:
+                    self._template(at, ids, named)
         self.keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
         owner, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owners, places))
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owner, self.place = self.keys[order], owner[order], place[order]
         self.names = np.unique(self.keys)
         self.units = np.array(sorted(i for w, i in self.words.items() if w in UNITS), np.int64)
+        self._lengths = {named: sorted(t) for named, t in self.templates.items()}
+        self._keys = {named: {n: np.array(sorted({k for k, _ in rows}), np.uint64) for n, rows in t.items()} for named, t in self.templates.items()}
         for unit in UNITS:  # a unit beside a number is a placeholder even if no item says it
             self.words.setdefault(unit, -1)
 
@@ -116,9 +140,51 @@ class Index:
             self.words[word] = _FIRST + len(self.words)
         return self.words[word]
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def _template(self, at: int, ids: np.ndarray, named: np.ndarray) -> None:
+        """Keep an item's whole template. Units are placeholders wherever they stand, as a text may put a number beside
+        the item's first or last word; :meth:`_stands` compares those that the item does not have beside a number."""
+        units = np.array([w in UNITS for w in self.tokens[at]], bool)
+        for is_named, form in ((False, ids), (True, named)):
+            if is_named and (np.array_equal(ids, named) or np.sum(form >= _FIRST) < LITERAL):
+                continue
+            loose = np.where(units & (form != _NAME), _UNIT, form)
+            [(n, _, key)] = _spans(loose, [len(loose)])
+            self.templates[is_named].setdefault(n, []).append((int(key[0]), at))
+
+    def _stands(self, at: int, named: bool, words: list[str]) -> tuple[int, int] | None:
+        """Slots and changed slots if ``words`` are the item's template, its slots filled consistently; with fewer than ``LITERAL``
+        words beside the slots, if they are the item's own words."""
+        form, own = self.forms[at], self.tokens[at]
+        if not named:
+            form = np.where(form == _NAME, _FIRST, form)
+        if np.sum(form >= _FIRST) < LITERAL:
+            if words != own:
+                return None
+        slots: dict[tuple[int, str], str] = {}
+        for kind, mine, word in zip(form.tolist(), own, words):
+            if kind >= _FIRST:
+                if word != mine:
+                    return None
+            elif slots.setdefault((kind, mine), word) != word:
+                return None
+        return len(slots), sum(v != k[1] for k, v in slots.items())
+
+    def _whole_hits(self, ids: np.ndarray, named: bool):
+        """(place, length, item) where ids with every unit as placeholder have the hash of a whole template."""
+        for n, place, key in _spans(ids, self._lengths[named]):
+            names = self._keys[named][n]
+            at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+            rows: dict[int, list[int]] = {}
+            for k, item in self.templates[named][n]:
+                rows.setdefault(k, []).append(item)
+            for p in np.flatnonzero(names[at] == key).tolist():
+                for item in rows[int(key[p])]:
+                    yield int(place[p]), n, item
+
+    def ids(self, words: list[str], every_unit: bool = False) -> np.ndarray:
         out = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        out = _typed(out, (out == -1) | np.isin(out, self.units))
+        unit = (out == -1) | np.isin(out, self.units)
+        out = np.where(unit, _UNIT, out) if every_unit else _typed(out, unit)
         return np.maximum(out, 0)
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
@@ -152,11 +218,25 @@ class Index:
         if self.whole:
             for i, words in enumerate(split):
                 out[i] += [(at, 0, 0, 0, 0) for at in self.whole.get(tuple(words), [])]
+        for named in (False, True):
+            if self.templates[named]:
+                for i, (text, words) in enumerate(zip(texts, split)):
+                    out[i] = self._templates_in(out[i], text, words, named)
         return out
 
-    def _named(self, text: str) -> np.ndarray:
+    def _templates_in(self, found: list, text: str | None, words: list[str], named: bool) -> list:
+        """``found`` with the items whose whole template is in the text; of several places the least changed counts."""
+        best = {f[0]: f for f in found}
+        ids = self._named(text or "", True) if named else self.ids(words, True)
+        for p, n, at in self._whole_hits(ids, named):
+            slots = self._stands(at, named, words[p : p + n])
+            if slots and (at not in best or slots[1] < best[at][4]):
+                best[at] = (at, 1, 1, *slots)
+        return sorted(best.values())
+
+    def _named(self, text: str, every_unit: bool = False) -> np.ndarray:
         words, names = tokens(text)
-        ids = self.ids(words)
+        ids = self.ids(words, every_unit)
         return np.where(np.array(names, bool), _NAME, ids) if words else ids
 
     def _named_hits(self, text: str) -> bool:
@@ -239,8 +319,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     second form) names inside sentences become typed placeholders; windows of five tokens, two of them literal at
     least, are looked up by hash. A pair counts if at least half of the item's windows are found and each value
     of the item's slots stands for one value of the document throughout; windows that contradict the commonest
-    assignment are not counted. Items without such a window (fewer than five tokens, say) match only documents that are
-    nothing else.
+    assignment are not counted. An item without such a window is found where its whole template stands, of any length and anywhere
+    in a document, with consistent slots, or with its own numbers if it has fewer than two literal tokens; it counts as one
+    window. Letters of scripts without spaces are tokens each. Items of one or two tokens match only documents that are nothing else.
 
     Returns doc_id, item_id, n_windows, n_found, n_slots, n_changed. Null or empty texts match nothing; null doc_id
     is kept. Repeated documents give repeated rows; two items with one id give a row each. Empty tables: no rows.

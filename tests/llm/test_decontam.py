@@ -28,6 +28,21 @@ def test_leaks_and_templates(spark, make_docs, prose):
     assert dict(((d, i), n) for d, i, n in got)[11, 1] >= 4
 
 
+def test_items_without_a_window_are_found_inside_documents(spark, make_docs, prose):
+    items = [
+        (1, "Compute 48 / 6 + 3 * 5"), (2, "Solve for x"), (3, "minutes remain until noon"), (4, "add 4 5 6 7 8 and 9 10 11 12 4"),
+        (5, "小明有三個蘋果又買了五個一共有幾個"), (6, "7 8 9"), (7, "12 km or 3 km"), (8, "ask Ann 3 4 5 6"),
+    ]
+    inside = lambda i, t: prose(i, 200) + ". " + t + " " + prose(i + 50, 200)
+    rows = [
+        (1, inside(1, items[0][1])), (2, inside(2, "solve for X!")), (3, inside(3, "12 minutes remain until noon 30")), (4, inside(4, "add 14 15 16 17 18 and 19 20 21 22 14")),
+        (5, "他說小明有三個蘋果又買了五個一共有幾個嗎"), (6, inside(6, "6 7 8 9 10")), (7, inside(7, "12 km or 3 km")), (8, inside(8, "ask Ann 3 4 5 6")),
+        (11, inside(11, "Compute 48 / 6 + 3 * 6")), (12, inside(12, "solve for y")), (13, inside(13, "hours remain until noon")), (14, inside(14, "add 14 15 16 17 18 and 19 20 21 22 99")),
+        (15, "他說小華沒有蘋果也沒有買"), (16, inside(16, "7 8 10")), (17, inside(17, "12 km or 4 km")), (18, inside(18, "ask Bob 3 4 5 6")),
+    ]
+    assert pairs(spark, make_docs, rows, items) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 9), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0)]
+
+
 def test_brute_force_containment(spark, make_docs, prose):
     """Without slots a pair counts exactly if half of the item's five-word windows are in the document."""
     items = [(i, prose(100 + i, 20 + i)) for i in range(12)]
