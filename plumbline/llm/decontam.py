@@ -256,18 +256,53 @@ class Index:
             need = math.ceil(CONTAINED * self.total[at])
             if len({q for _, q in pairs}) < need:
                 continue
-            form, own = self.forms[at], self.tokens[at]
-            votes: dict[tuple[int, str], Counter] = {}
-            for p, q in pairs:
-                for j in range(WINDOW):
-                    if form[q + j] < _FIRST:
-                        votes.setdefault((int(form[q + j]), own[q + j]), Counter())[words[p + j]] += 1
-            best = {slot: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for slot, c in votes.items()}
-            good = {q for p, q in pairs if all(form[q + j] >= _FIRST or words[p + j] == best[int(form[q + j]), own[q + j]] for j in range(WINDOW))}
+            best, good = self._assigned(at, pairs, words, need)
             if len(good) >= need:
                 out.append((at, int(self.total[at]), len(good), len(best), sum(v != s[1] for s, v in best.items())))
         return sorted(out)
 
+    def _assigned(self, at: int, pairs: set[tuple[int, int]], words: list[str], need: int) -> tuple[dict, set[int]]:
+        """The values of an item's slots and its windows that agree with them. The commonest values of the whole text are tried first;
+        if they do not bring ``need`` windows, each passage by itself: windows whose place in the text less their place in the item
+        is nearly the same, where values at just that distance go before those of its neighbours."""
+        form, own = self.forms[at], self.tokens[at]
+        slots = [(int(f), w) if f < _FIRST else None for f, w in zip(form.tolist(), own)]
+
+        def votes(chosen) -> dict:
+            count: dict[tuple[int, str], Counter] = {}
+            for p, q in chosen:
+                for j in range(WINDOW):
+                    if slots[q + j]:
+                        count.setdefault(slots[q + j], Counter())[words[p + j]] += 1
+            return {slot: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for slot, c in count.items()}
+
+        def agreeing(chosen, best) -> set[int]:
+            return {q for p, q in chosen if all(not slots[q + j] or words[p + j] == best[slots[q + j]] for j in range(WINDOW))}
+
+        best = votes(pairs)
+        good = agreeing(pairs, best)
+        if len(good) >= need or not best:
+            return best, good
+        lines: dict[int, list[tuple[int, int]]] = {}
+        for p, q in pairs:
+            lines.setdefault(p - q, []).append((p, q))
+        slack = max(2, len(own) // 4)
+        order = sorted(lines)
+        first = last = 0
+        for d in order:
+            while order[first] < d - slack:
+                first += 1
+            while last < len(order) and order[last] <= d + slack:
+                last += 1
+            near = [x for e in order[first:last] for x in lines[e]]
+            if len({q for _, q in near}) < need:
+                continue
+            here = votes(near) | votes(lines[d])
+            found = agreeing(near, here)
+            if len(found) > len(good):
+                best, good = here, found
+        return best, good
+
 
 def _texts(batch: pa.RecordBatch, rows: int = 256):
     column = batch.column(batch.schema.get_field_index("text"))
@@ -318,8 +353,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Tokens are numbers, words and currency or unit signs, in lower case. Numbers, units beside numbers and (in a
     second form) names inside sentences become typed placeholders; windows of five tokens, two of them literal at
     least, are looked up by hash. A pair counts if at least half of the item's windows are found and each value
-    of the item's slots stands for one value of the document throughout; windows that contradict the commonest
-    assignment are not counted. An item without such a window is found where its whole template stands, of any length and anywhere
+    of the item's slots stands for one value throughout the document, or throughout one passage of it; windows that
+    contradict the commonest assignment there are not counted. An item without such a window is found where its whole template stands, of any length and anywhere
     in a document, with consistent slots, or with its own numbers if it has fewer than two literal tokens; it counts as one
     window. Letters of scripts without spaces are tokens each. Items of one or two tokens match only documents that are nothing else.
 

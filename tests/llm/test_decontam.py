@@ -43,6 +43,18 @@ def test_items_without_a_window_are_found_inside_documents(spark, make_docs, pro
     assert pairs(spark, make_docs, rows, items) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 9), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0)]
 
 
+def test_variants_of_one_item_in_one_document(spark, make_docs, prose):
+    items = [(1, "What is 12 times 7 plus 30?"), (2, ITEMS[0][1])]
+    sheet = " ".join(f"What is {i} times {i + 3} plus {50 - i}?" for i in range(1, 20))
+    one, two = (ITEMS[0][1].replace("12", a).replace("3.50", b).replace("5 apples", f"{c} apples") for a, b, c in (("40", "9.25", "7"), ("31", "8.10", "2")))
+    torn = "Alice bought 9 apples for 2 dollars at the market near Boston. "
+    rows = [
+        (1, "What is 3 times 5 plus 9? What is 8 times 2 plus 4?"), (2, sheet), (3, prose(1, 50) + ". " + one + " " + prose(2, 50) + ". " + two),
+        (4, torn * 30 + prose(3, 40) + ". " + one + " " + prose(4, 40)), (5, "What is 3 plus 5 times 9? What is 8 minus 2 plus 4?"),
+    ]
+    assert {(d, i) for d, i, _ in pairs(spark, make_docs, rows, items)} == {(1, 1), (2, 1), (3, 2), (4, 2)}
+
+
 def test_brute_force_containment(spark, make_docs, prose):
     """Without slots a pair counts exactly if half of the item's five-word windows are in the document."""
     items = [(i, prose(100 + i, 20 + i)) for i in range(12)]
