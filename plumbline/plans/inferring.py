@@ -55,6 +55,16 @@ def kendall(spark, d):
     return eights(S.kendall_tau(frame(spark, d, "measurements").where("question_id < 12"), ["model"], "bet", "n_hedges"))
 
 
+@query(
+    "kendall_tau_whole",
+    """WITH c AS (SELECT model, bet, n_hedges, count(*)::DOUBLE AS c FROM {measurements} m WHERE bet IS NOT NULL AND n_hedges IS NOT NULL GROUP BY model, bet, n_hedges)
+       SELECT model, round(sum(a.c * b.c * sign(a.bet - b.bet) * sign(a.n_hedges - b.n_hedges)) / (sqrt(sum(a.c * b.c * (a.bet <> b.bet)::INT)) * sqrt(sum(a.c * b.c * (a.n_hedges <> b.n_hedges)::INT))), 8) AS tau
+       FROM c a JOIN (SELECT model, bet, n_hedges, c FROM c) b USING (model) GROUP BY model""",
+)
+def kendall_whole(spark, d):
+    return eights(S.kendall_tau(frame(spark, d, "measurements"), ["model"], "bet", "n_hedges"))
+
+
 @query("ols_by_channel", "SELECT channel, count(*)::BIGINT AS n, round(regr_slope(conf, length), 10) AS slope, round(regr_r2(conf, length), 8) AS r2, round(regr_intercept(conf, length), 8) AS intercept, round(sqrt((1 - regr_r2(conf, length)) * var_pop(conf) / (var_pop(length) * (count(*) - 2))), 10) AS se, round(regr_slope(conf, length) / sqrt((1 - regr_r2(conf, length)) * var_pop(conf) / (var_pop(length) * (count(*) - 2))), 6) AS t FROM {measurements} m GROUP BY channel")
 def ols(spark, d):
     o = S.ols(frame(spark, d, "measurements"), ["channel"], "length", "conf")

@@ -58,6 +58,15 @@ def quantiles(spark, d):
     return nines(m.groupBy("model").agg(*[c.alias(n) for n, c in K.quantiles("conf", 0.3).items()]))
 
 
+@query(
+    "quantile_definitions_whole",
+    """SELECT model, round(linear, 9) AS linear, round(l[(round_even((n - 1) * 0.3::DOUBLE, 0))::INT + 1], 9) AS nearest, round(l[floor((n - 1) * 0.3::DOUBLE)::INT + 1], 9) AS lower, round(l[least(ceil(n * 0.3::DOUBLE), n)::INT], 9) AS upper
+       FROM (SELECT model, quantile_cont(conf, 0.3) AS linear, list(conf ORDER BY conf) AS l, count(*) AS n FROM {measurements} m WHERE conf IS NOT NULL GROUP BY model) x""",
+)
+def quantiles_whole(spark, d):
+    return nines(frame(spark, d, "measurements").groupBy("model").agg(*[c.alias(n) for n, c in K.quantiles("conf", 0.3).items()]))
+
+
 _POINTS = f"SELECT domain, model, avg((decision = 'proceed')::INT) AS autonomy, avg(correct::INT) AS success, avg(tokens) AS cost, CASE WHEN domain = 'd2' THEN NULL ELSE avg(hedges) END AS latency FROM {C} c GROUP BY domain, model"
 
 
