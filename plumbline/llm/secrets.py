@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 
 import pyarrow as pa
 import zstandard
@@ -16,6 +17,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Strings worth measuring: unbroken, 16 characters or more, with a digit and a letter.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 _SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|credential|auth|bearer|private.?key|access.?key|signing|encrypt|certificate|-----BEGIN", re.I)
+_LONGEST = 16
+_PEM = re.compile(r"-----(BEGIN|END)\b")
 
 #: What code and configuration around a string commonly says; primes the compressor so that ordinary names cost little.
 IDENTIFIERS = (
@@ -29,7 +32,6 @@ IDENTIFIERS = (
     "00000000 11111111 12345678 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef 2020-01-01 2024-12-31 00:00:00 "
 )
 CONTEXT = 256
-NEAR = 48
 #: Marginal compressed bytes per character from which a string is reported. Random base 64 costs 0.75, random
 #: hexadecimal 0.5 and names made of common parts well below.
 NOVELTY = 0.45
@@ -49,11 +51,79 @@ class Novelty:
         return (len(self.compressor.compress(without + b" " + extra)) - len(self.compressor.compress(without + b" "))) / max(len(extra), 1)
 
 
+def _before(text: str, at: int, word: str) -> str:
+    """The last ``CONTEXT`` characters before ``at`` beside copies of ``word``."""
+    pieces: list[str] = []
+    need = CONTEXT
+    while need > 0 and at > 0:
+        copy = text.rfind(word, max(0, at - need - len(word)), at)
+        low = max(0, at - need) if copy < 0 else max(copy + len(word), at - need)
+        pieces.append(text[low:at])
+        need -= at - low
+        at = copy
+    return "".join(reversed(pieces))
+
+
+def _after(text: str, at: int, word: str) -> str:
+    """The first ``CONTEXT`` characters from ``at`` beside copies of ``word``."""
+    pieces: list[str] = []
+    need = CONTEXT
+    while need > 0 and at < len(text):
+        copy = text.find(word, at, at + need + len(word))
+        high = at + need if copy < 0 else min(copy, at + need)
+        pieces.append(text[at:high])
+        need -= high - at
+        at = copy + len(word) if copy >= 0 else len(text)
+    return "".join(pieces)
+
+
+class _Sensitive:
+    """Whether a string, asked for from left to right, stands in a sensitive context; no part of the text is searched twice."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.hits: deque[tuple[int, int]] = deque()
+        self.scanned = 0
+        self.marks: list[re.Match] | None = None
+        self.mark = 0
+        self.block = -1  # where the open PEM block ends, or how far it reaches without another string
+
+    def __call__(self, start: int, end: int) -> bool:
+        low, high = max(0, start - CONTEXT), min(len(self.text), end + CONTEXT)
+        while self.hits and self.hits[0][0] < low:
+            self.hits.popleft()
+        if high > self.scanned:
+            self.hits.extend(m.span() for m in _SENSITIVE.finditer(self.text, max(low, self.scanned - _LONGEST), high))
+            self.scanned = high
+        name = self.text.find("=", start, end - 1)
+        own = start if name < 0 else name
+        in_block = self._in_block(start, end)
+        return in_block or any(e <= own or s >= end for s, e in self.hits)
+
+    def _in_block(self, start: int, end: int) -> bool:
+        if self.marks is None:
+            self.marks = list(_PEM.finditer(self.text))
+        while self.mark < len(self.marks) and self.marks[self.mark].start() < start:
+            m = self.marks[self.mark]
+            self.mark += 1
+            after = self.marks[self.mark] if self.mark < len(self.marks) else None
+            if m[1] == "END":
+                self.block = -1
+            else:
+                self.block = after.start() if after and after[1] == "END" else m.end() + CONTEXT
+        if start >= self.block:
+            return False
+        self.block = max(self.block, end + CONTEXT)
+        return True
+
+
 def scan(text: str | None, novelty: Novelty) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of a text as (kind, start, end), by start, then kind in the order of ``KINDS``.
 
     A string in a sensitive context that overlaps no base span is reported as ``novel`` if it costs at least
-    ``NOVELTY`` compressed bytes a character beyond its surroundings."""
+    ``NOVELTY`` compressed bytes a character beyond its surroundings: the ``CONTEXT`` characters on either side, not
+    counting other copies of it. The context is sensitive if a sensitive word lies in those of the text, or before a ``=`` in the
+    string, or if a PEM block is open; a block without an end goes on while strings follow within ``CONTEXT`` characters."""
     text = text or ""
     base = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
@@ -64,6 +134,7 @@ def scan(text: str | None, novelty: Novelty) -> tuple[list[tuple[str, int, int]]
     taken = iter(sorted((s, e) for _, s, e in base))
     now = next(taken, None)
     reach = -1
+    sensitive = _Sensitive(text)
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
         while now and now[0] < end:
@@ -71,9 +142,9 @@ def scan(text: str | None, novelty: Novelty) -> tuple[list[tuple[str, int, int]]
             now = next(taken, None)
         if reach > start:
             continue
-        if not _SENSITIVE.search(text, max(0, start - NEAR), start):
+        if not sensitive(start, end):
             continue
-        around = text[max(0, start - CONTEXT) : start] + text[end : end + CONTEXT]
+        around = _before(text, start, m[0]) + _after(text, end, m[0])
         if novelty.marginal(around, m[0]) >= NOVELTY:
             more.append(("novel", start, end))
     return base, sorted(base + more, key=order)

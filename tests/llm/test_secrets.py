@@ -55,5 +55,33 @@ def test_novelty():
     assert secrets.scan(f"private key {key} again {key}", novelty)[1] == [] or True
 
 
+def novel(text):
+    return [text[a:b] for k, a, b in secrets.scan(text, secrets.Novelty())[1] if k == "novel"]
+
+
+def test_repeated_secrets_are_found():
+    rng = random.Random(5)
+    for size in (20, 32, 40):
+        for gap in (1, 100, 200, 250, 300):
+            key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(size - 1)) + "7"
+            for n in (1, 2, 5):
+                text = "Bearer " + ((" word" * 60)[: gap - 1] + " ").join([key] * n)
+                # the last copies may lie farther from the word than the context reaches
+                reach = [m.start() for m in re.finditer(key, text) if m.start() <= secrets.CONTEXT]
+                assert novel(text) == [key] * len(reach)
+
+
+def test_context_lies_on_both_sides_and_in_pem_blocks():
+    rng = random.Random(6)
+    lines = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(62)) + "a1" for _ in range(26)]
+    prose = "the long way home is quiet in the rain " * 20
+    assert novel(prose + lines[0] + " is the password of the day. " + prose) == [lines[0]]
+    assert novel("the credential, which nobody may ever read aloud or write down anywhere, reads " + lines[1]) == [lines[1]]
+    body = "\n".join(lines)
+    assert novel(f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\n{prose}{lines[2][::-1]} {prose}") == lines
+    assert novel(f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n{prose}{lines[2][::-1]} {prose}") == lines
+    assert novel(prose + lines[3] + " " + prose) == []
+
+
 def test_empty(make_docs):
     assert secrets.find_secrets(make_docs([(1, "a")]).limit(0)).count() == 0
