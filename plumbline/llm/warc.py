@@ -17,6 +17,16 @@ FAN_BITS = 4
 FILE_BYTES = 64 << 20
 
 
+def _plain(pages: DataFrame) -> DataFrame:
+    """page_id, url, h (a hash of both, which names the record), length and digest of the record of every row."""
+    body = F.coalesce("html", F.lit(""))
+    url = F.coalesce("url", F.lit(""))
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    rows = pages.withColumn("record", F.concat(head, body, F.lit("\r\n\r\n")))
+    return rows.select("page_id", url.alias("url"), F.md5(F.concat(name, F.lit(" "), url)).alias("h"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+
+
 def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """WARC resource records of (page_id, url, html) rows, laid out in files: file, page_id, offset, length, digest, record.
 
@@ -24,17 +34,15 @@ def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     size, so files are near ``file_bytes`` long; in a file records go by page_id (null first), then digest. Null url or html
     is empty. Empty input: no rows. Only ids, lengths and digests are shuffled; the record's text is built again where needed.
     """
-    body = F.coalesce("html", F.lit(""))
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.withColumn("record", F.concat(head, body, F.lit("\r\n\r\n")))
-    rows = rows.select("page_id", F.md5(F.concat(name, F.lit(" "), F.coalesce("url", F.lit("")))).alias("h"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    rows = rows.distinct()
+    return _laid(_plain(pages).drop("url").distinct(), file_bytes).drop("h")
+
+
+def _laid(rows: DataFrame, file_bytes: int) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
     files = F.greatest(F.ceil(F.col("total") / F.lit(file_bytes)), F.lit(1).cast("long"))
     rows = rows.crossJoin(F.broadcast(total)).withColumn("file", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), files))
     at = W.Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    return rows.select("file", "page_id", (F.row_number().over(at) - 1).cast("long").alias("leaf"), (F.sum("length").over(at.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "digest")
+    return rows.select("file", "page_id", "h", (F.row_number().over(at) - 1).cast("long").alias("leaf"), (F.sum("length").over(at.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "digest")
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
@@ -72,21 +80,48 @@ def damaged(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
     return bad
 
 
-def audit(pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
+def _placed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Replica B's digests at the leaves of A's layout: a record that A has too at its leaf, any other one at the leaf of a record
+    of the same page and address that B has lost, in the order of digests. A leaf without either is left out."""
+    rank = lambda x: x.withColumn("rank", F.row_number().over(W.Window.partitionBy("h").orderBy("digest")))
+    both = a.join(b.select("h", "digest", F.lit(True).alias("same")), ["h", "digest"], "left")
+    lost = rank(both.where("same is null")).select("file", "leaf", "offset", "length", "h", "rank")
+    gained = rank(b.join(a.select("h", "digest"), ["h", "digest"], "left_anti")).select("h", "rank", "digest")
+    changed = lost.join(gained, ["h", "rank"]).select("file", "leaf", "offset", "length", "digest")
+    return both.where("same").select("file", "leaf", "offset", "length", "digest").union(changed)
+
+
+def audit(pages_a: DataFrame, pages_b: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Every record of replica A with its place, digest, its file's root and whether replica B differs there.
 
-    Returns file, page_id, offset, length, digest, root, damaged, digest_b (B's digest where damaged). Trees grow by
-    sixteenths; nothing but grouped hashes is shuffled. See :func:`records` for nulls and repeated rows.
+    Returns file, page_id, offset, length, digest, root, damaged, digest_b (B's digest where damaged, null if B has no
+    such record). A's layout is the manifest of both trees and a record of B goes to the leaf of its page and address, so
+    lost, added or longer records move no other leaf. Equal rows count once and records of B alone have no row; :func:`differences` has
+    both. Trees grow by sixteenths; nothing but grouped hashes is shuffled. See :func:`records` for nulls.
     """
-    a, b = records(pages_a), records(pages_b)
-    a = checkpoint(a)
-    one, two = tree(a), tree(b)
+    a = checkpoint(_laid(_plain(pages_a).drop("url").distinct(), file_bytes))
+    b = checkpoint(_plain(pages_b).select("h", "digest").distinct())
+    one, two = tree(a), tree(_placed(a, b))
     bad = damaged(one, two).select("file", F.col("node").alias("leaf"), "hash_b", F.lit(True).alias("damaged"))
     roots = one[-1].select("file", F.col("hash").alias("root"))
     out = a.join(bad, ["file", "leaf"], "left").join(roots, "file", "left")
     return out.select("file", "page_id", "offset", "length", "digest", "root", F.coalesce("damaged", F.lit(False)).alias("damaged"), F.col("hash_b").alias("digest_b"))
 
 
+def differences(pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
+    """Records whose numbers of copies differ between two replicas: page_id, url, digest, length, copies_a, copies_b, status.
+
+    A record is a page, an address (null as empty) and a digest; repeated rows are counted. status is ``missing`` if B has fewer
+    copies, ``extra`` if A has, and ``changed`` if the page and address has records of both kinds. Equal replicas: no rows.
+    """
+    count = lambda pages, one, other: _plain(pages).groupBy("page_id", "url", "h", "digest", "length").agg(F.count("*").alias("n")).withColumns({one: F.col("n"), other: F.lit(0).cast("long")}).drop("n")
+    both = count(pages_a, "copies_a", "copies_b").unionByName(count(pages_b, "copies_b", "copies_a"))
+    both = both.groupBy("page_id", "url", "h", "digest", "length").agg(F.sum("copies_a").alias("copies_a"), F.sum("copies_b").alias("copies_b")).where("copies_a <> copies_b")
+    kinds = both.groupBy("h").agg(F.bool_or(F.expr("copies_a > copies_b")).alias("fewer"), F.bool_or(F.expr("copies_a < copies_b")).alias("more"))
+    status = F.when(F.col("fewer") & F.col("more"), "changed").when(F.col("fewer"), "missing").otherwise("extra")
+    return both.join(kinds, "h").select("page_id", "url", "digest", "length", "copies_a", "copies_b", status.alias("status"))
+
+
 def decayed(pages: DataFrame) -> DataFrame:
     """A replica with planted damage: the pages whose number leaves 3 on division by 97 lose nothing but have their last character changed."""
     hit = F.pmod("page_id", F.lit(97)) == 3

@@ -43,6 +43,20 @@ def test_damage_is_located(spark):
     assert warc.audit(pages(spark, ROWS[:1]), pages(spark, ROWS[:1])).count() == 1
 
 
+def test_lost_added_and_longer_records_move_no_others(spark):
+    # with the records added, B alone passes the size of a file
+    added = [(i, f"http://new/{i}", "n" * 2000) for i in range(1000, 1300)]
+    other = [(i, u, h + " longer" if i == 42 else h) for i, u, h in ROWS if i not in (7, 150)] + added
+    other.remove((3, "http://h/3", "<p>3 é</p>" * 3))
+    a, b = pages(spark, ROWS), pages(spark, other)
+    got = {r["page_id"]: r["digest_b"] for r in warc.audit(a, b, 600_000).collect() if r["damaged"]}
+    assert set(got) == {7, 42, 150} and got[7] is got[150] is None and got[42]
+    have = sorted((r["status"], r["page_id"], r["copies_a"], r["copies_b"]) for r in warc.differences(a, b).collect())
+    want = [("changed", 42, 0, 1), ("changed", 42, 1, 0), ("missing", 3, 2, 1), ("missing", 7, 1, 0), ("missing", 150, 1, 0)] + [("extra", i, 0, 1) for i, _, _ in added]
+    assert have == sorted(want)
+    assert warc.differences(a, a).count() == 0 and warc.differences(pages(spark, []), a).count() == len(set(ROWS))
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_reading_files(spark, tmp_path, packed):
     data = b"".join(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nContent-Length: {n}\r\n\r\n".encode() + b"\r" * n + b"\r\n\r\n" for i, n in enumerate((0, 7, 4000)))
