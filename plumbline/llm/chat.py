@@ -66,11 +66,27 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """The turns of rendered conversations, unescaped: conv_id, formatted, turns (role, text) in order."""
+    """The turns of rendered conversations, unescaped: conv_id, formatted, loss, turns (role, text) in order."""
     pieces = F.filter(F.split("formatted", CLOSE), lambda p: p != "")
     part = F.transform(pieces, lambda p: F.split(F.substring(p, len(OPEN) + 1, F.length(p)), MIDDLE))
     turns = F.transform(part, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
-    return rendered.select("conv_id", "formatted", turns.alias("turns"))
+    return rendered.select("conv_id", "formatted", "loss", turns.alias("turns"))
+
+
+def learned() -> Column:
+    """The texts under the loss mask, in order: ``formatted`` sliced at the spans of ``loss`` and unescaped."""
+    return F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+
+
+def summary(rendered: DataFrame) -> DataFrame:
+    """Sizes and hashes of rendered conversations: what was said is read back by turns, what is learned by the loss mask."""
+    back = read_back(rendered)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(learned(), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
@@ -82,13 +98,7 @@ def op5_format_chats(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    back = read_back(render(fold(log_of(rows.unionByName(extra)))))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    return summary(render(fold(log_of(rows.unionByName(extra)))))
 
 
 ORACLE = r"""

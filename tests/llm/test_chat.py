@@ -64,3 +64,11 @@ def test_repeated_turns_and_empty(spark):
     got = {r["conv_id"]: r["turns"] for r in chat.read_back(chat.render(chat.fold(chat.log_of(df)))).collect()}
     assert [tuple(t) for t in got[1]] == [("assistant", ""), ("user", "a"), ("user", "a")] and got[2][0]["text"] == "x" * 200000
     assert chat.render(chat.fold(chat.log_of(df.limit(0)))).count() == 0
+
+
+def test_query_reads_the_loss_mask(spark, tmp_path):
+    rows = [(1, 0, "user", "a < b"), (1, 1, "assistant", "é \\ <x>"), (1, 2, "assistant", ""), (1, 3, "user", "c"), (1, 4, "assistant", "\U0001f600 end"), (2, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    query = chat.op5_format_chats(spark, str(tmp_path))
+    assert "Window" in query._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["conv_id"]: r["loss_chars"] for r in query.collect()} == {1: 12, 2: 0, -7: 26}
