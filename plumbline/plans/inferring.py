@@ -50,18 +50,13 @@ def partial(spark, d):
     return x.select("model", F.round(S.partial(F.col("xy"), F.col("xz"), F.col("yz")), 8).alias("partial"))
 
 
-@query("kendall_tau", "SELECT model, round(sum(sign(a.bet - b.bet) * sign(a.n_hedges - b.n_hedges)) / (sqrt(sum((a.bet <> b.bet)::INT)) * sqrt(sum((a.n_hedges <> b.n_hedges)::INT))), 8) AS tau FROM (SELECT * FROM {measurements} m WHERE question_id < 12) a JOIN (SELECT model, event_id AS e2, bet, n_hedges FROM {measurements} m WHERE question_id < 12) b USING (model) WHERE event_id < e2 GROUP BY model")
-def kendall(spark, d):
-    return eights(S.kendall_tau(frame(spark, d, "measurements").where("question_id < 12"), ["model"], "bet", "n_hedges"))
-
-
 @query(
-    "kendall_tau_whole",
+    "kendall_tau",
     """WITH c AS (SELECT model, bet, n_hedges, count(*)::DOUBLE AS c FROM {measurements} m WHERE bet IS NOT NULL AND n_hedges IS NOT NULL GROUP BY model, bet, n_hedges)
        SELECT model, round(sum(a.c * b.c * sign(a.bet - b.bet) * sign(a.n_hedges - b.n_hedges)) / (sqrt(sum(a.c * b.c * (a.bet <> b.bet)::INT)) * sqrt(sum(a.c * b.c * (a.n_hedges <> b.n_hedges)::INT))), 8) AS tau
        FROM c a JOIN (SELECT model, bet, n_hedges, c FROM c) b USING (model) GROUP BY model""",
 )
-def kendall_whole(spark, d):
+def kendall(spark, d):
     return eights(S.kendall_tau(frame(spark, d, "measurements"), ["model"], "bet", "n_hedges"))
 
 

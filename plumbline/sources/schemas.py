@@ -14,7 +14,7 @@ QUESTION = "question_text string, correct_answer string, answer_type string, sou
 def _slot(s: str) -> str:
     return (
         f"domain_{s} string, subcategory_{s} string, difficulty_{s} string, strength_{s} string, component_{s}_decision string, component_{s}_correct boolean, component_{s}_answer string, component_{s}_tool_used boolean, component_{s}_deferred boolean, "
-        f"component_{s}_externally_routed boolean, exp1_accuracy_{s} double, mirror_gap_{s} double, hedge_count_{s} int, decomp_count_{s} int, token_count_{s} int, error_type_{s} string"
+        f"component_{s}_externally_routed boolean, exp1_accuracy_{s} double, calibration_gap_{s} double, hedge_count_{s} int, decomp_count_{s} int, token_count_{s} int, error_type_{s} string"
     )
 
 

@@ -17,21 +17,40 @@ def connect(folder):
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
-        return ""
-    if isinstance(v, bool):
-        return str(v)
-    if isinstance(v, int):
-        return str(v)
-    try:
-        return f"{float(v) + 0.0:.5g}" if not isinstance(v, str) else v
-    except (TypeError, ValueError):
-        return str(v)
+    """Kinds that both engines have; dates are compared as text."""
+    if isinstance(v, bool) or v is None or isinstance(v, (int, float, str)):
+        return v
+    if isinstance(v, (list, tuple)):
+        return tuple(plain(x) for x in v)
+    return float(v) if hasattr(v, "as_tuple") else str(v)
+
+
+def _order(row):
+    """Rows in the order of what is exact in them, then of floats to six digits."""
+    exact = tuple((v is None, type(v).__name__, v if not isinstance(v, float) and v is not None else 0) for v in row)
+    return exact, tuple(f"{v:.6g}" if isinstance(v, float) else "" for v in row)
 
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted([columns[i] for i in order] + [""]), sorted(tuple(plain(r[i]) for i in order) for r in data)
+    return [columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in data), key=_order)
+
+
+def same(a, b):
+    """Equal, floats to a relative 1e-9. ``a`` is the library's: it has null where SQL has null or NaN, and never NaN itself."""
+    if isinstance(b, float) and math.isnan(b):
+        return a is None
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return len(a) == len(b) and all(map(same, a, b))
+    return type(a) is type(b) and a == b
+
+
+def differing(got, want):
+    """The rows of two sorted lists that are not the same, at most ten."""
+    out = [(a, b) for a, b in zip(got, want) if not same(a, b)][:10]
+    return out or ([("rows", len(got), len(want))] if len(got) != len(want) else [])
 
 
 def spark_rows(df):

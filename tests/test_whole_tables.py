@@ -22,7 +22,7 @@ def by_model(spark):
 
 def test_tau_over_all_pairs(spark, by_model):
     sign = lambda x: (x > 0) - (x < 0)
-    got = {r["model"]: r["tau"] for r in registry.QUERIES["kendall_tau_whole"](spark, FOLDER).collect()}
+    got = {r["model"]: r["tau"] for r in registry.QUERIES["kendall_tau"](spark, FOLDER).collect()}
     assert set(got) == set(by_model)
     for model, rows in by_model.items():
         pairs = [(sign(a["bet"] - b["bet"]), sign(a["n_hedges"] - b["n_hedges"])) for i, a in enumerate(rows) for b in rows[:i]]
@@ -31,7 +31,7 @@ def test_tau_over_all_pairs(spark, by_model):
 
 
 def test_quantiles_over_all_rows(spark, by_model):
-    got = {r["model"]: r for r in registry.QUERIES["quantile_definitions_whole"](spark, FOLDER).collect()}
+    got = {r["model"]: r for r in registry.QUERIES["quantile_definitions"](spark, FOLDER).collect()}
     assert set(got) == set(by_model)
     for model, rows in by_model.items():
         line = sorted(r["conf"] for r in rows)
