@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder of spark.checkpoint.dir and cut its lineage.
 
-    A folder of our own is set only where the session has none, as in tests on one machine.
+    Where the session names no folder, one of our own is set on a local master, as in tests; a cluster must name a shared one.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="plumbline-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

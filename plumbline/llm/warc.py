@@ -38,11 +38,20 @@ def records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
 
 
 def _laid(rows: DataFrame, file_bytes: int) -> DataFrame:
-    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+    return _placed_in_files(rows, rows.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total")), file_bytes).select("file", "page_id", "h", "leaf", "offset", "length", "digest")
+
+
+def _in_file(rows: DataFrame, file_bytes: int) -> DataFrame:
+    """Add ``file`` to rows with ``h`` and the ``total`` bytes that are dealt."""
     files = F.greatest(F.ceil(F.col("total") / F.lit(file_bytes)), F.lit(1).cast("long"))
-    rows = rows.crossJoin(F.broadcast(total)).withColumn("file", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), files))
+    return rows.withColumn("file", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), files)).drop("total")
+
+
+def _placed_in_files(rows: DataFrame, total: DataFrame, file_bytes: int) -> DataFrame:
+    """Add file, leaf and offset. A window holds one file's rows, and a file is near ``file_bytes`` long."""
     at = W.Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    return rows.select("file", "page_id", "h", (F.row_number().over(at) - 1).cast("long").alias("leaf"), (F.sum("length").over(at.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "digest")
+    dealt = _in_file(rows.crossJoin(F.broadcast(total)), file_bytes).withColumn("leaf", (F.row_number().over(at) - 1).cast("long"))
+    return dealt.withColumn("offset", F.sum("length").over(at.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("length"))
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
@@ -122,16 +131,72 @@ def differences(pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
     return both.join(kinds, "h").select("page_id", "url", "digest", "length", "copies_a", "copies_b", status.alias("status"))
 
 
+def _mark(digest: str, copies: str):
+    """What a leaf holds for a record: its digest, and how often it is there if more than once."""
+    return F.when(F.col(copies) > 1, F.sha2(F.concat(F.col(digest), F.lit("*"), F.col(copies).cast("string")), 256)).otherwise(F.col(digest))
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    return _plain(pages).groupBy("page_id", "url", "h", "length", "digest").agg(F.count("*").alias("copies"))
+
+
+def report(pages_a: DataFrame, pages_b: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Every record of two replicas, with what the audit of their trees says of it.
+
+    Returns file, page_id, url, offset, length, digest, copies, root (of A's file), status, digest_b and copies_b. A record is a page, an
+    address (null as empty) and a digest, with the number of rows equal in these. One manifest serves both trees: A's records are laid out as in
+    :func:`records`, by the larger replica's size, and a record that only B has goes to the leaf of A's record of the same page and address if B
+    has lost that, else behind the last leaf of its file. So no record moves another one's leaf. Roots are compared first and only
+    mismatching branches followed; their leaves are ``damaged`` (both replicas have a record there; also where copies differ), ``missing``
+    (A alone) or ``added`` (B alone: offset, root and digest null, length that of B's record). All others are ``same``.
+    Null page_id, url or html: as in :func:`records`. Two empty replicas: no rows.
+    """
+    a, b = checkpoint(_counted(pages_a)), checkpoint(_counted(pages_b))
+    size = lambda x: F.coalesce(F.sum("length"), F.lit(0))
+    total = a.agg(size(a).alias("ta")).crossJoin(F.broadcast(b.agg(size(b).alias("tb")))).select(F.greatest("ta", "tb").alias("total"))
+    a = checkpoint(_placed_in_files(a, total, file_bytes))
+    rank = lambda x, by: x.withColumn("rank", F.row_number().over(W.Window.partitionBy("h").orderBy(by)))
+    other = b.select(F.col("h").alias("hb"), F.col("digest").alias("digest_b"), F.col("copies").alias("copies_b"), F.col("length").alias("length_b"), F.col("page_id").alias("page_b"), F.col("url").alias("url_b"))
+    both = a.join(other, (a["h"] == other["hb"]) & (a["digest"] == other["digest_b"]), "left")
+    stays = both.where("hb is not null").select("file", "leaf", "offset", "length", "digest_b", "copies_b", "length_b", "page_b", "url_b")
+    lost = rank(both.where("hb is null").select("file", "leaf", "offset", "length", "h", "digest"), "digest").drop("digest")
+    gained = rank(b.join(a.select("h", "digest"), ["h", "digest"], "left_anti"), "digest")
+    gained = gained.select(F.col("h"), "rank", F.col("digest").alias("digest_b"), F.col("copies").alias("copies_b"), F.col("length").alias("length_b"), F.col("page_id").alias("page_b"), F.col("url").alias("url_b"))
+    changed = lost.join(gained, ["h", "rank"]).select(*stays.columns)
+    extra = gained.join(lost.select("h", "rank"), ["h", "rank"], "left_anti").withColumn("length", F.col("length_b"))
+    ends = a.groupBy("file").agg((F.max("leaf") + 1).alias("leaves"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    extra = _in_file(extra.crossJoin(F.broadcast(total)), file_bytes).join(ends, "file", "left")
+    at = W.Window.partitionBy("file").orderBy("h", "digest_b")
+    before = F.sum("length").over(at.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("length")
+    extra = extra.withColumn("leaf", (F.coalesce("leaves", F.lit(0)) + F.row_number().over(at) - 1).cast("long")).withColumn("offset", F.coalesce("end", F.lit(0)) + before)
+    placed = checkpoint(stays.union(changed).union(extra.select(*stays.columns)))
+
+    one = tree(a.withColumn("digest", _mark("digest", "copies")))
+    two = tree(placed.withColumn("digest", _mark("digest_b", "copies_b")))
+    bad = damaged(one, two).select("file", F.col("node").alias("leaf"), F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "added").otherwise("damaged").alias("status"))
+    roots = one[-1].select("file", F.col("hash").alias("root"))
+    theirs = placed.select("file", "leaf", "digest_b", "copies_b", "length_b", "page_b", "url_b").join(bad, ["file", "leaf"])
+    known = a.join(bad.where("status <> 'added'"), ["file", "leaf"], "left").join(theirs.select("file", "leaf", "digest_b", "copies_b"), ["file", "leaf"], "left").join(roots, "file", "left")
+    known = known.select("file", "page_id", "url", "offset", "length", "digest", "copies", "root", F.coalesce("status", F.lit("same")).alias("status"), "digest_b", "copies_b")
+    added = theirs.where("status = 'added'").select(
+        "file", F.col("page_b").alias("page_id"), F.col("url_b").alias("url"), F.lit(None).cast("long").alias("offset"), F.col("length_b").alias("length"), F.lit(None).cast("string").alias("digest"),
+        F.lit(None).cast("long").alias("copies"), F.lit(None).cast("string").alias("root"), "status", "digest_b", "copies_b",
+    )
+    return known.unionByName(added)
+
+
 def decayed(pages: DataFrame) -> DataFrame:
-    """A replica with planted damage: the pages whose number leaves 3 on division by 97 lose nothing but have their last character changed."""
-    hit = F.pmod("page_id", F.lit(97)) == 3
+    """A replica with planted damage, by what page_id leaves on division by 97: 3, the last character of the page is changed; 11, the row is lost;
+    19, a character is added at the end; 27, a row of a new address is added; 35, the row is there twice. Other rows and null ids stay."""
+    left = F.coalesce(F.pmod("page_id", F.lit(97)), F.lit(-1))
     spoilt = F.when(F.length("html") > 0, F.concat(F.expr("left(html, length(html) - 1)"), F.when(F.expr("right(html, 1)") == "~", "!").otherwise("~"))).otherwise(F.col("html"))
-    return pages.withColumn("html", F.when(hit, spoilt).otherwise(F.col("html")))
+    rows = pages.where(left != 11).withColumn("html", F.when(left == 3, spoilt).when(left == 19, F.concat(F.coalesce("html", F.lit("")), F.lit("+"))).otherwise(F.col("html")))
+    return rows.union(pages.where(left == 27).withColumn("url", F.concat(F.coalesce("url", F.lit("")), F.lit("#new")))).union(pages.where(left == 35))
 
 
 def op8_warc_audit(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return audit(pages, decayed(pages))
+    return report(pages, decayed(pages))
 
 
 def parse(data: bytes) -> list[tuple[dict[str, str], int, int, bytes]]:
@@ -165,19 +230,31 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(page_id::VARCHAR, '') AS name,
-                  CASE WHEN page_id % 97 = 3 AND length(html) > 0 THEN substr(html, 1, length(html) - 1) || CASE WHEN right(html, 1) = '~' THEN '!' ELSE '~' END ELSE coalesce(html, '') END AS other FROM pages),
-q AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || name || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS h, chr(13) || chr(10) || chr(13) || chr(10) AS e FROM p),
-r AS (SELECT DISTINCT page_id, md5(name || ' ' || url) AS m, h || strlen(html) || e || html || e AS a, h || strlen(other) || e || other || e AS b FROM q),
-s AS (SELECT page_id, m, strlen(a)::BIGINT AS length, sha256(a) AS digest, sha256(b) AS other FROM r),
-f AS (SELECT *, ('0x' || substr(m, 1, 8))::BIGINT % greatest(ceil((SELECT sum(length) FROM s) / 67108864.0)::BIGINT, 1) AS file FROM s),
-l AS (SELECT *, row_number() OVER w - 1 AS leaf, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset" FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)),
-t1 AS (SELECT file, leaf // 16 AS n, sha256(string_agg(digest, '' ORDER BY leaf)) AS h FROM l GROUP BY ALL),
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(page_id::VARCHAR, '') AS name, coalesce(page_id % 97, -1) AS m FROM pages),
+two AS (SELECT page_id, name, url, CASE WHEN m = 3 AND html <> '' THEN substr(html, 1, length(html) - 1) || CASE WHEN right(html, 1) = '~' THEN '!' ELSE '~' END WHEN m = 19 THEN html || '+' ELSE html END AS html FROM p WHERE m <> 11
+        UNION ALL SELECT page_id, name, url || '#new', html FROM p WHERE m = 27 UNION ALL SELECT page_id, name, url, html FROM p WHERE m = 35),
+pages_of AS (SELECT 'a' AS side, page_id, name, url, html FROM p UNION ALL SELECT 'b', page_id, name, url, html FROM two),
+r AS (SELECT side, page_id, url, md5(name || ' ' || url) AS h, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || name || '>' || chr(13) || chr(10)
+             || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages_of),
+c AS (SELECT side, page_id, url, h, strlen(record)::BIGINT AS length, sha256(record) AS digest, count(*)::BIGINT AS copies FROM r GROUP BY ALL),
+a AS (SELECT * FROM c WHERE side = 'a'), b AS (SELECT * FROM c WHERE side = 'b'),
+n AS (SELECT greatest(ceil(max(t) / 67108864.0)::BIGINT, 1) AS files FROM (SELECT sum(length) AS t FROM c GROUP BY side)),
+f AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % files AS file FROM a, n),
+l AS (SELECT *, row_number() OVER w - 1 AS leaf, (sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset", CASE WHEN copies > 1 THEN sha256(digest || '*' || copies) ELSE digest END AS mark
+      FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)),
+t1 AS (SELECT file, leaf // 16 AS n, sha256(string_agg(mark, '' ORDER BY leaf)) AS h FROM l GROUP BY ALL),
 t2 AS (SELECT file, n // 16 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM t1 GROUP BY file, n // 16),
 t3 AS (SELECT file, n // 16 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM t2 GROUP BY file, n // 16),
 t4 AS (SELECT file, n // 16 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM t3 GROUP BY file, n // 16),
 top AS (SELECT max(leaf) AS mx FROM l),
 root AS (SELECT file, h FROM t4, top WHERE mx >= 4096 AND mx < 65536 UNION ALL SELECT file, h FROM t3, top WHERE mx >= 256 AND mx < 4096 UNION ALL SELECT file, h FROM t2, top WHERE mx >= 16 AND mx < 256 UNION ALL SELECT file, h FROM t1, top WHERE mx >= 1 AND mx < 16
-         UNION ALL SELECT file, digest FROM l, top WHERE mx = 0)
-SELECT l.file, page_id, "offset", length, digest, root.h AS root, digest <> other AS damaged, CASE WHEN digest <> other THEN other END AS digest_b FROM l JOIN root USING (file)
+         UNION ALL SELECT file, mark FROM l, top WHERE mx = 0),
+lost AS (SELECT h, digest, row_number() OVER (PARTITION BY h ORDER BY digest) AS k FROM a ANTI JOIN b USING (h, digest)),
+gained AS (SELECT h, digest, copies, length, page_id, url, row_number() OVER (PARTITION BY h ORDER BY digest) AS k FROM b ANTI JOIN a USING (h, digest))
+SELECT l.file, l.page_id, l.url, l."offset", l.length, l.digest, l.copies, root.h AS root,
+       CASE WHEN b.copies = l.copies THEN 'same' WHEN b.copies IS NOT NULL OR g.digest IS NOT NULL THEN 'damaged' ELSE 'missing' END AS status,
+       CASE WHEN b.copies <> l.copies THEN l.digest ELSE g.digest END AS digest_b, CASE WHEN b.copies <> l.copies THEN b.copies ELSE g.copies END AS copies_b
+FROM l JOIN root USING (file) LEFT JOIN b ON b.h = l.h AND b.digest = l.digest LEFT JOIN lost ON lost.h = l.h AND lost.digest = l.digest LEFT JOIN gained g ON g.h = lost.h AND g.k = lost.k
+UNION ALL
+SELECT ('0x' || substr(g.h, 1, 8))::BIGINT % n.files, g.page_id, g.url, NULL, g.length, NULL, NULL, NULL, 'added', g.digest, g.copies FROM gained g CROSS JOIN n LEFT JOIN lost ON lost.h = g.h AND lost.k = g.k WHERE lost.h IS NULL
 """

@@ -64,3 +64,31 @@ def test_reading_files(spark, tmp_path, packed):
     got = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
     assert [(r["record_id"], r["url"], len(r["body"])) for r in got] == [(f"<urn:page:{i}>", f"http://h/{i}", n) for i, n in enumerate((0, 7, 4000))]
     assert got[-1]["offset"] + got[-1]["length"] == len(data)
+
+
+def plain_report(a, b):
+    """(page_id, url, html) of each record of either replica with its status, by pairing records of one page and address in the order of digests."""
+    body = lambda r: (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if r[0] is None else r[0]}>\r\nWARC-Target-URI: {r[1] or ''}\r\nContent-Length: {len((r[2] or '').encode())}\r\n\r\n{r[2] or ''}\r\n\r\n").encode()
+    count = lambda rows: {k: sum((r[0], r[1] or "", hashlib.sha256(body(r)).hexdigest()) == k for r in rows) for k in {(r[0], r[1] or "", hashlib.sha256(body(r)).hexdigest()) for r in rows}}
+    ca, cb = count(a), count(b)
+    out = [(*k, "same" if ca[k] == cb[k] else "damaged", None if ca[k] == cb[k] else k[2]) for k in ca if k in cb]
+    for name in {k[:2] for k in [*ca, *cb]}:
+        lost, gained = (sorted(k[2] for k in x if k[:2] == name and k not in y) for x, y in ((ca, cb), (cb, ca)))
+        for i in range(max(len(lost), len(gained))):
+            one, two = (x[i] if i < len(x) else None for x in (lost, gained))
+            out.append((*name, one, "missing" if two is None else "added" if one is None else "damaged", two))
+    return sorted(out, key=str)
+
+
+def test_report_finds_exactly_what_changed(spark):
+    import random
+
+    rng = random.Random(12)
+    for n in (0, 1, 40, 700):
+        a = [(rng.choice([None, *range(n)]), rng.choice([None, "u", "v"]), rng.choice(["", "x", "y" * 400, None])) for _ in range(n)]
+        b = [r if rng.random() > 0.2 else (r[0], r[1], (r[2] or "") + rng.choice("!?")) for r in a if rng.random() > 0.1] + [(rng.randrange(n + 9), "w", "new") for _ in range(n // 9)]
+        for one, two in ((a, b), (b, a), (a, a), (a, [])):
+            got = warc.report(pages(spark, one), pages(spark, two), 20_000).collect()
+            have = sorted(((r["page_id"], r["url"], r["digest"], r["status"], r["digest_b"]) for r in got), key=str)
+            assert have == plain_report(one, two)
+            assert all((r["root"] is None) == (r["status"] == "added") for r in got)
