@@ -52,21 +52,22 @@ def render(messages: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted and loss, the (start, length) spans of assistant texts in it.
 
     Each turn is ``<turn>`` role ``<text>`` text ``</turn>`` and a line feed; role and text are escaped. Turns go
-    by seq, then ord, role and text. Offsets count code points from 0.
+    by seq, then ord, role and text (null seq first); repeated messages are repeated turns. Null role or text: as empty, spans of length 0
+    included. Null conv_id is a conversation of its own. Offsets count code points from 0. Empty input: no rows.
     """
     rows = messages.withColumn("r", escape(F.col("role"))).withColumn("t", escape(F.col("text")))
     size = F.length("r") + F.length("t") + len(OPEN + MIDDLE + CLOSE)
     before = W.Window.partitionBy("conv_id").orderBy("seq", "ord", "role", "text").rowsBetween(W.Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + len(OPEN + MIDDLE) + F.length("r"))
     span = F.when(F.col("role") == "assistant", F.struct(F.col("at").cast("long").alias("start"), F.length("t").cast("long").alias("length")))
-    # the spans are an aggregate of their own, so a reader of the text alone does not pay for the window
     by_conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "ord", "role", "text"))).alias("turns"), F.sort_array(F.collect_list(span)).alias("loss"))
     piece = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE), escape(t["text"]), F.lit(CLOSE))
     return by_conv.select("conv_id", F.array_join(F.transform("turns", piece), "").alias("formatted"), "loss")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """The turns of rendered conversations, unescaped: conv_id, formatted, loss, turns (role, text) in order."""
+    """The turns of rendered conversations, unescaped: conv_id, formatted, loss, turns (role, text) in order. A null or empty ``formatted``
+    has null or no turns."""
     pieces = F.filter(F.split("formatted", CLOSE), lambda p: p != "")
     part = F.transform(pieces, lambda p: F.split(F.substring(p, len(OPEN) + 1, F.length(p)), MIDDLE))
     turns = F.transform(part, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
@@ -94,11 +95,37 @@ def log_of(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg_id"), F.lit("message").alias("kind"), "role", "text")
 
 
+#: How far apart the events of one streamed message lie in the log's sequence.
+STEP = 1
+
+
+def streamed_log(conversations: DataFrame) -> DataFrame:
+    """Rows of (conv_id, turn, role, text) as the log of a chat service whose folded messages are these rows.
+
+    A user's row is one ``message``. An assistant's, by a hash of conversation and turn, comes whole, in three parts (``message`` and two
+    ``delta``), as a draft that is corrected (``message``, ``edit``) or as an attempt that is streamed and thrown away (``message``,
+    ``delta``, ``regenerate``). Events of a message lie at turn, turn + 1 and turn + 2, so those of neighbouring turns are interleaved.
+    Every row is a message of its own, however often it occurs; rows without a turn come whole. Null text stays null.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.floor(F.length(text) / 3).cast("int")
+    part = lambda first, size: F.substr(text, first, size)
+    event = lambda i, kind, said: F.struct((F.col("turn") + i * STEP).alias("seq"), F.lit(kind).alias("kind"), said.alias("said"))
+    whole = F.array(F.struct(F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("text").alias("said")))
+    parts = F.array(event(0, "message", part(F.lit(1), third)), event(1, "delta", part(third + 1, third)), event(2, "delta", part(2 * third + 1, F.length(text))))
+    edited = F.array(event(0, "message", F.concat(F.lit("Draft: "), part(F.lit(1), F.lit(20)))), event(1, "edit", text))
+    redone = F.array(event(0, "message", part(F.lit(1), F.lit(20))), event(1, "delta", F.lit(" and so on")), event(2, "regenerate", text))
+    way = F.when((F.col("role") == "assistant") & F.col("turn").between(-(1 << 62), 1 << 62), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)))
+    log = conversations.withColumn("msg_id", F.monotonically_increasing_id())
+    log = log.withColumn("event", F.explode(F.when(way == 1, parts).when(way == 2, edited).when(way == 3, redone).otherwise(whole)))
+    return log.select("conv_id", "event.seq", "msg_id", "event.kind", "role", F.col("event.said").alias("text"))
+
+
 def op5_format_chats(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    return summary(render(fold(log_of(rows.unionByName(extra)))))
+    return summary(render(fold(streamed_log(rows.unionByName(extra)))))
 
 
 ORACLE = r"""

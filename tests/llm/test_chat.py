@@ -72,3 +72,17 @@ def test_query_reads_the_loss_mask(spark, tmp_path):
     query = chat.op5_format_chats(spark, str(tmp_path))
     assert "Window" in query._jdf.queryExecution().optimizedPlan().toString()
     assert {r["conv_id"]: r["loss_chars"] for r in query.collect()} == {1: 12, 2: 0, -7: 26}
+
+
+def test_streamed_logs_fold_back(spark):
+    rng = random.Random(4)
+    bits = ["<turn>", "\\", "é", "😀", "word ", "\n", ""]
+    rows = [(c, rng.choice([None, *range(8)]), rng.choice(["user", "assistant"]), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))])) for c in range(60) for _ in range(rng.randint(1, 9))]
+    rows += [(99, 1, "assistant", "twice the same")] * 3 + [(98, (1 << 63) - 1, "assistant", "late"), (97, -(1 << 63), "assistant", "early")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed_log(df)
+    assert {r["kind"] for r in log.collect()} == set(chat.KINDS)
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.render(chat.fold(log))).collect()}
+    for conv in got:
+        own = [(t is not None, t or 0, role, text or "") for c, t, role, text in rows if c == conv]
+        assert got[conv] == [r[2:] for r in sorted(own)]
