@@ -137,20 +137,22 @@ def held_out(doc_id="doc_id"):
 def _measured(batches):
     for batch in batches:
         rows = [statistics(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], ["quality", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], ["id", "quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Fit on at most ``sample`` labelled documents outside the held-out fifth.
 
-    A document labelled more than once takes the majority, ties counting as 1; null labels and ids are left out.
-    The sample's ids are bounded, so they are broadcast to one scan of the documents; only its statistics, at most ``sample`` times 23 numbers,
-    reach the driver.
+    A document labelled more than once takes the majority, ties counting as 1; null labels and ids are left out. A doc_id that occurs
+    more than once gives one row, that of the smallest statistics. The sample's ids are bounded, so they are broadcast to one scan of
+    the documents; only its statistics, at most ``sample`` times 23 numbers, reach the driver. Empty tables: a constant score.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), F.col("id") == F.col("doc_id")).select("quality", "text")
-    got = rows.mapInArrow(_measured, "quality int, x array<double>").toPandas()
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), F.col("id") == F.col("doc_id")).select("id", "quality", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    measured = rows.mapInArrow(_measured, f"id {kind}, quality int, x array<double>")
+    got = measured.groupBy("id").agg(F.min(F.struct("x", "quality")).alias("one")).select("one.x", "one.quality").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(STATISTICS))
     y = got["quality"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # whatever order the rows came in
@@ -193,7 +195,11 @@ def _filter(forest: Forest):
 
 
 def keep_good(docs: DataFrame, forest: Forest) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns, without a shuffle."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns, without a shuffle.
+
+    Each row stands for itself: null texts are scored as empty ones, null ids and repeated rows are kept or rejected like others.
+    Columns of any name pass through. Empty input: no rows.
+    """
     return docs.mapInArrow(_filter(forest), docs.schema)
 
 

@@ -76,3 +76,43 @@ def test_filter_keeps_columns(spark, make_docs, prose):
     assert kept.schema == docs.schema
     assert {r["doc_id"] for r in kept.collect()} >= {i for i, q, _ in labels if q}
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), table)).count() == 0
+
+
+def test_a_repeated_id_is_one_row(spark, make_docs, prose, monkeypatch):
+    rows, labels = corpus(prose)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    hot = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    quality.train(make_docs(rows), table)
+    quality.train(make_docs(rows + [(hot, rows[hot][1])] * 500), table)
+    quality.train(make_docs(rows + [(hot, rows[hot][1])] * 500), table, sample=10)
+    assert np.array_equal(seen[0][0], seen[1][0]) and np.array_equal(seen[0][1], seen[1][1]) and len(seen[2][0]) <= 10
+
+
+def test_query_against_plain_traversal(spark, tmp_path, make_docs, prose):
+    """The query's scores are those of trees walked one by one, fitted on the rows that are not held out."""
+    rows, labels = corpus(prose)
+    rows += [(1000, None), (1001, ""), (1002, "x " * 30000)]
+    make_docs(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    learnt = [(i, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    x = np.array([quality.statistics(rows[i][1]) for i, _ in learnt])
+    y = np.array([float(q) for _, q in learnt])
+    order = np.lexsort((*x.T, y))
+    forest = quality.fit(x[order], y[order])
+
+    def walk(row):
+        total = forest.base
+        for i in forest.roots:
+            while not forest.leaf[i]:
+                i = forest.left[i] + (row[forest.feature[i]] > forest.cut[i])
+            total += forest.value[i]
+        return 1 / (1 + np.exp(-total))
+
+    got = {r["doc_id"]: r for r in quality.op2_quality(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        want = walk(quality.statistics(t))
+        assert abs(got[i]["score"] - want) < 1e-9 and got[i]["predicted"] == int(want >= 0.3)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
