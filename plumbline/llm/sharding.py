@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank
+from .common import checkpoint, global_rank
 
 SHARDS = 24
 BITS = 10
@@ -60,10 +60,11 @@ def hilbert_order(docs: DataFrame, bits: int = BITS) -> DataFrame:
     text take the smallest source and language of their group, so they lie side by side. Null text counts as
     empty; null source or language comes first. Ties go by text hash, then doc_id. Empty input: no rows.
 
-    Only ids, hashes and sizes are shuffled, never texts.
+    Texts are read once; only ids, hashes and sizes are kept and shuffled.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), "source", "lang")
+    base = checkpoint(base)
     groups = base.groupBy("text_hash", "size").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
     top = float((1 << bits) - 1)
     groups = groups.withColumn("axis_size", F.least(F.floor(F.log2(F.col("size").cast("double")) * (1 << bits) / 32), F.lit(top)).cast("long"))
@@ -76,7 +77,8 @@ def hilbert_order(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Cut the Hilbert order of :func:`hilbert_order` into ``shards`` runs whose row counts differ by one at most.
 
-    Adds law ('rows'), shard, slot (place in the shard, from 0) and grown_shard (null under this law).
+    Adds law ('rows'), shard, slot (place in the shard, from 0) and grown_shard (null under this law). Nulls, ties and
+    repeated rows as there; fewer rows than shards leave shards empty; an empty table has no rows.
     """
     ranked = hilbert_order(docs, bits)
     total = ranked.agg(F.count("*").alias("__total"))
@@ -86,6 +88,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     return out.withColumn("slot", (F.col("rank") - first).cast("long")).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).drop("__total")
 
 
+def shard_ranges(sharded: DataFrame) -> DataFrame:
+    """What a reader needs to skip shards: per shard its rows and the smallest and largest value on each axis. Empty input: no rows."""
+    ends = [f(a).alias(f"{n}_{a.removeprefix('axis_')}") for a in ("axis_size", "axis_source", "axis_lang") for n, f in (("least", F.min), ("most", F.max))]
+    return sharded.groupBy("shard").agg(F.count("*").alias("rows"), *ends)
+
+
 def op9_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
