@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import checkpoint, global_rank
+from .common import ROWS_A_TASK, checkpoint, global_rank
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,7 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: are 5, 2 and 1: the first kind of source fades, the second is steady, the third grows.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 CAP = 3
-BUCKETS = 1024
 
 
 def integral(knots) -> float:
@@ -59,23 +58,30 @@ def water_fill(sources: DataFrame, cap: int = CAP) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("source_size") * float(cap), F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
+def _digest() -> Column:
+    """What a row is, beside its source: its doc_id and its whole text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+
+
+def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP) -> DataFrame:
     """Plan the mix: one row per row of ``docs`` (doc_id, text, source).
 
     Sources in code-point order, null last, take the schedules in turn. A schedule's integral is the source's
-    weight in :func:`water_fill`. A source's documents form a stream in a fixed hash order, repeated as often as
+    weight in :func:`water_fill`. A source's documents form a stream in the order of a digest of id and text, repeated as often as
     its target asks; the stream ends at the target, in the middle of a document if need be.
 
-    Returns doc_id, source, size, source_size, target, taken (words taken over all repeats), repeats (``taken`` rounded
+    Returns doc_id, source, digest, size, source_size, target, taken (words taken over all repeats), repeats (``taken`` rounded
     to whole documents) and positions (the training times in [0, 1] at which the repeats start). Null text or no words: size 0, taken 0. Repeated rows are streamed like
     different documents. Empty input: no rows. Other columns are ignored.
 
-    Plan: one scan of the text, which leaves id, source and size; the running size in a source is a sum over
-    ``buckets`` slices of the hash order plus a window within a slice, so a hot source spreads over that many tasks.
+    Plan: one scan of the text, which leaves id, source, digest and size; the running size in a source is a sum over
+    slices of the digest order plus a window within a slice. There are as many slices as the rows fill tasks, so a hot source spreads over its
+    share of them and rows without an id, or with one id, over all; only rows equal in id, text and source share a slice.
     """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
-    base = checkpoint(base.withColumn("slice", F.floor(F.col("h") * buckets / F.lit(1 << 32)).cast("int")))
+    base = checkpoint(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _digest().alias("digest")))
+    buckets = max(1, -(-base.count() // ROWS_A_TASK))
+    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+    base = base.withColumn("slice", F.floor(place * buckets / F.lit(1 << 32)).cast("int"))
 
     slices = base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sources = global_rank(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), [F.col("source").asc_nulls_last()], "rank")
@@ -87,7 +93,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP, buckets: int = BUC
     starts = slices.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0))).drop("slice_size")
     starts = starts.join(sources, starts["source"].eqNullSafe(sources["source"])).drop(sources["source"])
 
-    inside = W.Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
+    inside = W.Window.partitionBy("source", "slice").orderBy("digest").rowsBetween(W.Window.unboundedPreceding, -1)
     run = base.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     run = run.join(starts, run["source"].eqNullSafe(starts["source"]) & (run["slice"] == starts["slice"])).drop(starts["source"]).drop(starts["slice"])
 
@@ -107,27 +113,36 @@ def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP, buckets: int = BUC
         positions = F.when(F.col("kind") == i, times(knots)) if positions is None else positions.when(F.col("kind") == i, times(knots))
     positions = F.when(taken > 0, positions).otherwise(F.array().cast("array<double>"))
     whole = full + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
-    return run.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), whole.cast("int").alias("repeats"), positions.alias("positions"))
+    return run.select("doc_id", "source", "digest", "size", "source_size", "target", taken.alias("taken"), whole.cast("int").alias("repeats"), positions.alias("positions"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, all columns, repeated and in training order.
 
     Whole documents only: one that the mix takes k and a part times comes k + 1 times if the part is half of it or more, else k
-    times; documents without words are left out. Rows are matched to the plan by doc_id, size and source.
+    times; documents without words are left out. Rows are matched to the plan by a digest of id, text and source, null ids and sources
+    included. Rows equal in these share their turns: one of them stands for all, with its other columns, at every position that the
+    plan gives to any. Empty input: no rows.
     """
-    plan = mix(docs, **options).where("repeats > 0 and size > 0").dropDuplicates(["doc_id", "size", "source"])
-    plan = plan.select(F.struct("doc_id", "size", "source").alias("__mix_of"), F.slice("positions", 1, F.col("repeats")).alias("__mix_at"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    named = docs.withColumn("__mix_key", F.struct("doc_id", size.alias("size"), "source"))
-    same = [F.col(f"__mix_key.{c}").eqNullSafe(F.col(f"__mix_of.{c}")) for c in ("doc_id", "size", "source")]
-    out = named.join(plan, same[0] & same[1] & same[2]).withColumn("__mix_position", F.explode("__mix_at"))
+    key = lambda digest: F.md5(F.concat(digest, F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))))
+    plan = mix(docs, **options).where("repeats > 0 and size > 0")
+    plan = checkpoint(plan.select(key("digest").alias("__mix_key"), F.slice("positions", 1, F.col("repeats")).alias("__mix_at")))
+    named = docs.withColumn("__mix_key", key(_digest()))
+    repeated = checkpoint(plan.groupBy("__mix_key").agg(F.count("*").alias("n")).where("n > 1").select("__mix_key"))
+    if repeated.isEmpty():
+        out = named.join(plan, "__mix_key")
+    else:
+        one = named.join(repeated, "__mix_key", "left_semi").dropDuplicates(["__mix_key"])
+        out = named.join(plan.join(repeated, "__mix_key", "left_anti"), "__mix_key")
+        out = out.unionByName(one.join(plan.join(repeated, "__mix_key", "left_semi"), "__mix_key"))
+    out = out.withColumn("__mix_position", F.explode("__mix_at"))
     out = out.repartitionByRange("__mix_position", "doc_id").sortWithinPartitions("__mix_position", "doc_id")
     return out.select(*docs.columns)
 
 
 def ordered(plan: DataFrame) -> DataFrame:
-    """The plan range-sorted by training position; what is not taken comes last."""
+    """The plan range-sorted by training position, ties by doc_id, with ``position``, the first one of each row; what is not taken comes last, its
+    position null. Null doc_id sorts first among ties. Empty input: no rows."""
     plan = plan.withColumn("position", F.get("positions", F.lit(0)))
     by = [F.col("position").asc_nulls_last(), F.col("doc_id")]
     return plan.repartitionByRange(*by).sortWithinPartitions(*by)
@@ -141,7 +156,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 k AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT AS kind FROM s),
@@ -153,7 +168,7 @@ c AS (SELECT ratio, (SELECT sum(source_size) FROM r) AS total,
 lv AS (SELECT coalesce(arg_min((total - kept)::DOUBLE / free, ratio), 0) AS level FROM c WHERE (total - kept)::DOUBLE / free <= ratio),
 t AS (SELECT source, source_size, kind, least(3.0::DOUBLE * source_size, level * weight) AS target FROM w, lv),
 o AS (SELECT b.doc_id, b.size, t.source_size, t.kind, t.target,
-             coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_
+             coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_
       FROM base b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes FROM o),
 g AS (SELECT *, floor(target - passes * source_size)::BIGINT AS rest, CASE WHEN target > 0 THEN least(greatest(start_ / target, 0), 1) END AS share FROM f),

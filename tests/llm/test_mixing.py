@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -84,3 +85,25 @@ def test_mixed_rows(make_docs):
 def test_empty(make_docs):
     assert mixing.mix(make_docs([(1, "a", "s")]).limit(0)).count() == 0
     assert [r["taken"] for r in mixing.mix(make_docs([(1, None), (2, " \n")])).collect()] == [0, 0]
+
+
+def test_rows_without_or_with_one_id(make_docs):
+    """Different texts under one id, or none, keep their own turns; rows equal in id, text and source share theirs."""
+    rows = [(None, f"text number {i} " + "w " * i, "a") for i in range(30)] + [(7, f"other text {i} " + "v " * i, "b") for i in range(30)] + [(8, "the same words", "c")] * 4
+    rows += [(9, "the same words", None), (9, "the same words", "+"), (9, "the same words", "")]
+    docs = make_docs(rows)
+    want = {}
+    for r in mixing.mix(docs).collect():
+        text = {(d, s, hashlib.md5(f"{'' if d is None else d}:{t}".encode()).hexdigest()): t for d, t, s in rows}[r["doc_id"], r["source"], r["digest"]]
+        key = (r["doc_id"], text, r["source"])
+        want[key] = want.get(key, 0) + r["repeats"]
+    have = {}
+    for r in mixing.mixed(docs).collect():
+        key = (r["doc_id"], r["text"], r["source"])
+        have[key] = have.get(key, 0) + 1
+    assert have == {k: n for k, n in want.items() if n}
+
+
+def test_a_very_long_text(make_docs):
+    got = {r["doc_id"]: r for r in mixing.mix(make_docs([(1, "w " * 400000, "a"), (2, "x y", "a"), (3, "z", "b")])).collect()}
+    assert got[1]["size"] == 400000 and got[1]["taken"] <= 3 * 400000 and got[3]["taken"] <= 3
