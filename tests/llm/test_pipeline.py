@@ -76,3 +76,17 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_stand_for_themselves(spark, make_docs, prose):
+    """Copies under null and repeated ids go as well; extra columns, ties and very long texts pass through."""
+    long = prose(1, 30000)
+    rows = [(1, prose(2, 60)), (5, prose(3, 60)), (5, prose(2, 60)), (None, prose(2, 60)), (None, prose(4, 60)), (None, prose(4, 60) + " end"), (6, long), (7, long), (8, None), (9, ""), (9, "")]
+    docs = make_docs(rows)
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert left.schema == docs.schema
+    got = left.collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got if r["doc_id"]) == sorted([("1", rows[0][1]), ("5", rows[1][1]), ("6", long), ("8", ""), ("9", ""), ("9", "")])
+    assert sum(r["doc_id"] is None for r in got) == 1
+    mix = corpus_pipeline.mixing_stage(spark, left, "")
+    assert mix.schema == docs.schema and corpus_pipeline.sharding_stage(spark, mix, "").count() == mix.count()
