@@ -5,19 +5,27 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 WINDOW = 5
 #: Share of an item's windows that a document must hold to count as contaminated.
 CONTAINED = 0.5
 #: Words of a window that must not be placeholders.
 LITERAL = 2
-#: Characters of benchmark text indexed at once; a larger benchmark is worked through in hashed blocks.
-BLOCK_CHARS = 8_000_000
+#: Most keys, and most characters of items, of a benchmark that is broadcast; a larger one is joined by shuffling.
+BROADCAST_KEYS, BROADCAST_CHARS = 1_000_000, 32_000_000
+#: Most digests of contaminated texts that are broadcast to drop their rows.
+BROADCAST_DIGESTS = 1_000_000
+#: Tokens of a whole template by which it is looked up.
+SPAN = 8
 
 #: Shortest item, in tokens, that is looked for inside longer documents; one or two words are no sign of a leak.
 SHORTEST = 3
@@ -304,47 +312,238 @@ class Index:
         return best, good
 
 
-def _texts(batch: pa.RecordBatch, rows: int = 256):
-    column = batch.column(batch.schema.get_field_index("text"))
-    for i in range(0, batch.num_rows, rows):
-        yield i, column.slice(i, rows).to_pylist()
+# ---------------------------------------------------------------------------------------------------------
+# Keys by which documents and items are joined: hashes of canonical windows, and of the beginnings of whole templates.
+
+_SPAN_SALT, _SHORT_SALT = np.int64(0x1B873593CC9E2D51), np.int64(0x2545F4914F6CDD1D)
+
+
+#: A word that parts the texts of a batch.
+_BREAK = "\0"
+
+
+def _word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class _Hashes(dict):
+    """64-bit ids of words: breaks 0, numbers all alike, others hashes with bit 4 set, so that they are no placeholder's, and bit 5 telling units.
+    Kept small by starting anew."""
+
+    MOST = 1 << 20
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        value = 0 if word == _BREAK else _NUMBER if word[0].isdigit() else _word_hash(word) & ~48 | 16 | 32 * (word in UNITS)
+        self[word] = value
+        return value
+
+
+_hashes = _Hashes()
+
+
+def _ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+    return ids, ids & 48 == 48
+
+
+def _window_keys(form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of a canonical form with ``LITERAL`` words or more beside placeholders, and their hashes."""
+    if len(form) < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    literal, gaps = (np.concatenate(([0], np.cumsum(x))) for x in ((form < 0) | (form >= _FIRST), form == 0))
+    place = np.flatnonzero((literal[WINDOW:] - literal[:-WINDOW] >= LITERAL) & (gaps[WINDOW:] == gaps[:-WINDOW]))
+    return place, _windows(form)[place]
 
 
-def _finder(index: Index):
+def _span_keys(form: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` ids from every place."""
+    out = np.full(max(len(form) - n + 1, 0), _SPAN_SALT + np.int64(n))
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = out * _MULTIPLIER + form[j : j + len(out)]
+    return out
+
+
+def _short_key(words: list[str]) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _span_keys(np.array([_word_hash(w) for w in words], np.int64), len(words)) * _SHORT_SALT
+
+
+def _forms(words: list[str], names: list[bool]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Canonical forms of words (units beside numbers as placeholders) and loose ones (all units), the second of each with names."""
+    if not words:
+        return [], []
+    ids, units = _ids(words)
+    plain, loose = [_typed(ids, units)], [np.where(units, _UNIT, ids)]
+    if any(names):
+        mark = np.array(names, bool)
+        plain.append(np.where(mark, _NAME, plain[0]))
+        loose.append(np.where(mark, _NAME, loose[0]))
+    return plain, loose
+
+
+class Known:
+    """The sorted keys of all items, with a table of their low bits that answers most questions."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[self.keys & ((1 << self.BITS) - 1)] = True
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys`` that are an item's."""
+        place = np.flatnonzero(self.table[keys & ((1 << self.BITS) - 1)])
+        at = np.minimum(np.searchsorted(self.keys, keys[place]), len(self.keys) - 1)
+        return place[self.keys[at] == keys[place]] if len(self.keys) else place[:0]
+
+
+def document_keys(texts: list[str | None], named: bool, spans: list[int], known: Known | None) -> list[np.ndarray]:
+    """The distinct keys of each whole text: its windows, spans of the given lengths and, if it has one or two words only, all of it;
+    of these only the known ones, if given."""
+    words, names, bounds, found = [], [], [0], []
+
+    def take(keys: np.ndarray, place: np.ndarray) -> None:
+        if known is not None:
+            hit = known.among(keys)
+            keys, place = keys[hit], place[hit]
+        found.append((np.searchsorted(bounds, place, "right") - 1, keys))
+
+    short = []
+    for i, text in enumerate(texts):
+        own, flags = tokens(text) if named else (_TOKEN.findall((text or "").lower()), [])
+        if 0 < len(own) < SHORTEST:
+            short.append((i, _short_key(own)))
+        words += own
+        words += [_BREAK] * SPAN
+        if named:
+            names += flags
+            names += [False] * SPAN
+        bounds.append(len(words))
+    plain, loose = _forms(words, names)
+    for form in plain:
+        place, keys = _window_keys(form)
+        take(keys, place)
+    for form in loose:
+        gaps = np.concatenate(([0], np.cumsum(form == 0)))
+        for n in spans:
+            place = np.flatnonzero(gaps[n:] == gaps[:-n])
+            take(_span_keys(form, n)[place], place)
+    for i, keys in short:
+        take(keys, np.array([bounds[i]]))
+    doc, keys = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    order = np.lexsort((keys, doc))
+    doc, keys = doc[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])
+    doc, keys = doc[new], keys[new]
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [keys[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def item_keys(text: str) -> tuple[list[int], list[int], int, int, bool]:
+    """(probes, keys, least, span, named) of an item.
+
+    A document that holds enough of the item's windows has ``least`` of ``keys`` at least and one of ``probes``: with need of n
+    windows found, one lies among any n - need + 1. An item without a window is looked up by the first ``span`` tokens of its template.
+    """
+    words, names = tokens(text)
+    if not words:
+        return [], [], 1, 0, False
+    plain, loose = _forms(words, names)
+    total = len(_window_keys(plain[0])[0])
+    named = len(plain) > 1
+    if total:
+        at: dict[int, set[int]] = {}
+        for form in plain:
+            for place, key in zip(*(x.tolist() for x in _window_keys(form))):
+                at.setdefault(place, set()).add(key)
+        need = math.ceil(CONTAINED * total)
+        order = sorted(at, key=lambda p: (min(at[p]), p))
+        probes = set().union(*(at[p] for p in order[: len(at) - need + 1]))
+        cover = Counter(k for ks in at.values() for k in ks)
+        least, covered = 0, 0
+        for n in sorted(cover.values(), reverse=True):
+            if covered >= need:
+                break
+            least, covered = least + 1, covered + n
+        return sorted(probes), sorted(cover), least, 0, named
+    if len(words) < SHORTEST:
+        keys = _short_key(words).tolist()
+        return keys, keys, 1, 0, False
+    span = min(len(words), SPAN)
+    keys = sorted({int(_span_keys(f[:span], span)[0]) for f in loose})
+    return keys, keys, 1, span, named
+
+
+_ITEM = "item_id long, item string, probes array<long>, keys array<long>, least int, span int, named boolean"
+
+
+def _item_rows(batches):
+    for batch in batches:
+        rows = [item_keys(t) for t in batch.column("item").to_pylist()]
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("item"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], ["item_id", "item", "probes", "keys", "least", "span", "named"])
+
+
+def _keyed(named: bool, spans: list[int], known, others: list[str]):
     def run(batches):
-        for batch in batches:
-            at, rest = [], []
-            for first, texts in _texts(batch):
-                for i, found in enumerate(index.search(texts)):
-                    for f in found:
-                        at.append(first + i)
-                        rest.append((index.items[f[0]], *f[1:]))
-            columns = [pa.array([r[k] for r in rest], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(at, pa.int64())), *columns], ["doc_id", "item_id", "n_windows", "n_found", "n_slots", "n_changed"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                keys = document_keys(batch.column("text").to_pylist(), named, spans, known.value if known is not None else None)
+                ends = np.cumsum([0] + [len(k) for k in keys])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+                out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], lists], [*others, "keys_of"])
+                yield out.filter(pa.array(np.diff(ends) > 0))
 
     return run
 
 
-def _cleaner(index: Index):
+@lru_cache(4096)
+def _index(item: str) -> Index:
+    return Index([(0, item)])
+
+
+def _verified(kept: list[str]):
     def run(batches):
         for batch in batches:
-            keep = [not found for _, texts in _texts(batch) for found in index.search(texts)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            at, rest = [], []
+            for i, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item").to_pylist())):
+                for f in _index(item).search([text])[0]:
+                    at.append(i)
+                    rest.append(f[1:])
+            columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([r[k] for r in rest], pa.int64()) for k in range(4)]], [*kept, "n_windows", "n_found", "n_slots", "n_changed"])
 
     return run
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of the items, each over at most about ``BLOCK_CHARS`` characters: the size is measured first and a larger benchmark is
-    dealt into blocks by hash, fetched one by one. Null texts and ids are left out."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, math.ceil(size / BLOCK_CHARS))
-    out = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        out.append(Index([(r["item_id"], r["text"]) for r in rows]))
-    return out
+def _pairs(docs: DataFrame, benchmark: DataFrame, kept: str) -> DataFrame:
+    """``kept`` of the documents, item_id and what was found, for every document and item that it holds."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
+    items = checkpoint(items.mapInArrow(_item_rows, _ITEM).where("size(keys) > 0").withColumn("ref", F.monotonically_increasing_id()))
+    facts = items.agg(F.collect_set("span").alias("spans"), F.max("named").alias("named"), F.sum(F.size("keys")).alias("n"), F.sum(F.length("item")).alias("chars")).first()
+    small = (facts["n"] or 0) <= BROADCAST_KEYS and (facts["chars"] or 0) <= BROADCAST_CHARS
+    send = F.broadcast if small else lambda x: x
+
+    kind = docs.schema[kept].dataType.simpleString()
+    spans = sorted(n for n in facts["spans"] if n)  # SPAN lengths at most
+    others = [kept, "text"]
+    known = None
+    if small:  # then a document's other keys need not leave its batch
+        keys = items.select(F.explode("keys").alias("key")).distinct().toPandas()["key"].to_numpy(np.int64)
+        known = docs.sparkSession.sparkContext.broadcast(Known(keys))
+    keyed = docs.select(*others).mapInArrow(_keyed(bool(facts["named"]), spans, known, others), f"{kept} {kind}, text string, keys_of array<long>")
+    probes = items.select(F.explode("probes").alias("probe"), F.col("ref").alias("of"))
+    hits = keyed.select(*others, "keys_of", F.explode_outer("keys_of").alias("at")).join(send(probes), F.col("at") == F.col("probe"))
+    hits = hits.join(send(items.select("item_id", "item", "probes", "keys", "least", "ref")), F.col("of") == F.col("ref"))
+    # of the probes that a document and an item share, the least one speaks for all; then enough keys must be shared
+    hits = hits.where(F.col("at").eqNullSafe(F.array_min(F.array_intersect("keys_of", "probes")))).where(F.size(F.array_intersect("keys_of", "keys")) >= F.col("least"))
+    return hits.select(kept, "text", "item_id", "item").mapInArrow(_verified([kept, "item_id"]), f"{kept} {kind}, item_id long, n_windows long, n_found long, n_slots long, n_changed long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -352,7 +551,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Tokens are numbers, words and currency or unit signs, in lower case. Numbers, units beside numbers and (in a
     second form) names inside sentences become typed placeholders; windows of five tokens, two of them literal at
-    least, are looked up by hash. A pair counts if at least half of the item's windows are found and each value
+    least, are hashed and joined. A pair counts if at least half of the item's windows are found and each value
     of the item's slots stands for one value throughout the document, or throughout one passage of it; windows that
     contradict the commonest assignment there are not counted. An item without such a window is found where its whole template stands, of any length and anywhere
     in a document, with consistent slots, or with its own numbers if it has fewer than two literal tokens; it counts as one
@@ -360,22 +559,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Returns doc_id, item_id, n_windows, n_found, n_slots, n_changed. Null or empty texts match nothing; null doc_id
     is kept. Repeated documents give repeated rows; two items with one id give a row each. Empty tables: no rows.
-    Other columns are ignored. One narrow pass over the documents for each block of the benchmark, no shuffle.
+    Other columns are ignored.
+
+    Plan: documents and items become arrays of window hashes in Arrow batches; the documents' hashes are joined with the items' probes;
+    pairs that share enough hashes, counted in arrays, are checked for consistent slots in Arrow batches. If the items' hashes are
+    measured to be few (``BROADCAST_KEYS``), they are sent to the documents' batches, so that no other hash leaves them, and the joins broadcast;
+    else the joins shuffle. No item's or document's text reaches the driver.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, n_windows long, n_found long, n_slots long, n_changed long"
-    out = None
-    for index in indexes(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_finder(index), schema)
-        out = part if out is None else out.union(part)
-    return out
+    return _pairs(docs, benchmark, "doc_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`contaminated` has no pair for; no shuffle."""
-    for index in indexes(benchmark):
-        docs = docs.mapInArrow(_cleaner(index), docs.schema)
-    return docs
+    """The rows of ``docs``, with all their columns, whose texts :func:`contaminated` has no pair for.
+
+    Rows go by a digest of their text, so ids may be null or repeated; rows of equal text share their fate. Null texts stay. Empty tables:
+    nothing goes. The digests of contaminated texts are broadcast if their measured number is small, else the rows are shuffled by digest.
+    """
+    texts = docs.select(F.md5("text").alias("__digest"), "text").where("text is not null")
+    bad = checkpoint(_pairs(texts, benchmark, "__digest").select("__digest").distinct())
+    bad = F.broadcast(bad) if bad.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS else bad
+    return docs.withColumn("__digest", F.md5("text")).join(bad, "__digest", "left_anti").select(*docs.columns)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from plumbline.llm import decontam
 
 ITEMS = [
@@ -73,15 +75,33 @@ def test_brute_force_containment(spark, make_docs, prose):
     assert pairs(spark, make_docs, rows, items) == sorted(want)
 
 
-def test_blocks_and_filter(spark, make_docs, prose, monkeypatch):
-    rows = [(1, ITEMS[1][1]), (2, prose(4, 50)), (None, ITEMS[1][1]), (3, ITEMS[0][1])]
-    whole = {(d, i) for d, i, _ in map(tuple, pairs(spark, make_docs, [r for r in rows if r[0]]))}
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
-    assert {(d, i) for d, i, _ in pairs(spark, make_docs, [r for r in rows if r[0]])} == whole == {(1, 2), (3, 1)}
+def test_joins_and_filter(spark, make_docs, prose, monkeypatch):
+    """Broadcast or shuffled, the join finds the same; the filter goes by text, whatever the ids."""
+    rows = [(1, ITEMS[1][1]), (2, prose(4, 50)), (None, ITEMS[1][1]), (3, ITEMS[0][1]), (None, None), (2, ITEMS[1][1]), (4, "")]
+    want = pairs(spark, make_docs, [r for r in rows if r[0]])
+    assert [p[:2] for p in want] == [(1, 2), (2, 2), (3, 1)]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = make_docs(rows)
-    kept = decontam.decontaminate(docs, bench)
-    assert kept.schema == docs.schema and [r["doc_id"] for r in kept.collect()] == [2]
+    for bound in (10**6, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_KEYS", bound)
+        monkeypatch.setattr(decontam, "BROADCAST_DIGESTS", bound)
+        assert pairs(spark, make_docs, [r for r in rows if r[0]]) == want
+        kept = decontam.decontaminate(docs, bench)
+        assert kept.schema == docs.schema and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[1], rows[4], rows[6]], key=str)
+
+
+def test_slots_against_brute_force(spark, make_docs, prose):
+    """The join loses no pair that every document held against every item has, slots of all kinds included."""
+    rng = random.Random(7)
+    names, units = ["Ann", "Bob", "Carl", "Dora"], ["km", "days", "euros", "kg"]
+    frame = lambda k, n, m, a, u: f"After the {prose(k, 4)} near {a} they took {n} {u} of {prose(k + 1, 3)} and gave {m} {u} back to {a} for the {prose(k + 2, 5)}."
+    draw = lambda: (rng.randint(1, 99), rng.randint(1, 99), rng.choice(names), rng.choice(units))
+    items = [(i, frame(1000 + 10 * i, *draw())) for i in range(8)] + [(20, "Compute 4 + 5 * 6"), (21, "12 km or 3 km"), (22, "Solve for x"), (23, "yes"), (24, prose(5, 6)), (25, "7 8 9 1 2 3 4 5 6 7 8 9")]
+    rows = [(i, prose(i, rng.randint(0, 40)) + ". " + frame(1000 + 10 * rng.randrange(8), *draw()) + " " + prose(i + 500, 20)) for i in range(60)]
+    rows += [(100 + i, prose(i, 9) + ". " + t.replace("4", "44") + " " + prose(i + 50, 9)) for i, (_, t) in enumerate(items)] + [(200 + i, t) for i, (_, t) in enumerate(items)]
+    rows += [(300 + i, " ".join(w for w in t.split() if rng.random() > 0.15)) for i, (_, t) in enumerate(items * 4)]
+    want = sorted((d, i, f[4]) for d, t in rows for i, item in items for f in decontam.Index([(i, item)]).search([t])[0])
+    assert pairs(spark, make_docs, rows, items) == want and len(want) > 60
 
 
 def test_empty(spark, make_docs):
