@@ -14,8 +14,10 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Strings worth measuring: unbroken, 16 characters or more, with a digit and a letter.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: Strings worth measuring: unbroken runs of 16 characters or more.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_PART = re.compile(r"[A-Za-z]+")
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6}", re.I)
 _SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|credential|auth|bearer|private.?key|access.?key|signing|encrypt|certificate|-----BEGIN", re.I)
 _LONGEST = 16
 _PEM = re.compile(r"-----(BEGIN|END)\b")
@@ -37,6 +39,21 @@ CONTEXT = 256
 NOVELTY = 0.45
 
 
+def wordlike(run: str) -> bool:
+    """Whether a run is made as names and words are, so that its being new says nothing.
+
+    Without letters it is a number or a rule. Without digits its letters decide: words join in camel case at most at every fifth letter, a quarter
+    of their letters or more are vowels, and six consonants do not follow one another. Most runs of random letters fail one of these.
+    """
+    letters = "".join(_PART.findall(run))
+    if not letters:
+        return True
+    if any(c.isdigit() for c in run):
+        return False
+    humps = sum(a.islower() and b.isupper() for a, b in zip(letters, letters[1:]))
+    return 5 * humps < len(letters) and 4 * sum(c in "aeiouyAEIOUY" for c in letters) >= len(letters) and not _CONSONANTS.search(letters)
+
+
 class Novelty:
     """Marginal compressed bytes of a string after its surroundings and the identifier dictionary."""
 
@@ -120,7 +137,7 @@ class _Sensitive:
 def scan(text: str | None, novelty: Novelty) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of a text as (kind, start, end), by start, then kind in the order of ``KINDS``.
 
-    A string in a sensitive context that overlaps no base span is reported as ``novel`` if it costs at least
+    An unbroken run in a sensitive context that overlaps no base span and is not :func:`wordlike` is reported as ``novel`` if it costs at least
     ``NOVELTY`` compressed bytes a character beyond its surroundings: the ``CONTEXT`` characters on either side, not
     counting other copies of it. The context is sensitive if a sensitive word lies in those of the text, or before a ``=`` in the
     string, or if a PEM block is open; a block without an end goes on while strings follow within ``CONTEXT`` characters."""
@@ -142,7 +159,7 @@ def scan(text: str | None, novelty: Novelty) -> tuple[list[tuple[str, int, int]]
             now = next(taken, None)
         if reach > start:
             continue
-        if not sensitive(start, end):
+        if not sensitive(start, end) or wordlike(m[0]):
             continue
         around = _before(text, start, m[0]) + _after(text, end, m[0])
         if novelty.marginal(around, m[0]) >= NOVELTY:
