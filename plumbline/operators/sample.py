@@ -63,11 +63,29 @@ def _draw(ident: Column, replicate: Column, seed: int, portable: bool) -> Column
     return F.sha1(F.concat_ws("|", ident.cast("string"), replicate.cast("string"), F.lit(str(seed)))) if portable else F.xxhash64(ident, replicate, F.lit(seed))
 
 
-def poisson_weight(ident: Column, replicate: Column, seed: int, portable: bool = False) -> Column:
-    """A Poisson(1) number of draws of a row in a replicate, from a hash: the bootstrap of independent rows."""
-    draw = _draw(ident, replicate, seed, portable)
-    u = F.conv(F.substring(draw, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52)) if portable else F.pmod(draw, F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return _quantile(u)
+#: Rounds that scatter integer ids over 31 bits, each (factor, term, factor of the replicate, shift): multiplication carries upwards, the shifted
+#: exclusive or downwards.
+MASK = (1 << 31) - 1
+ROUNDS = ((73244475, 42, 40503001, 15), (48271069, 12345, 0, 14), (65537111, 7, 16807003, 16))
+
+
+def scattered(ident: Column, replicate: Column, seed: int) -> Column:
+    """A number from 0 to 1 for an integer id in a replicate, from arithmetic that SQL engines share and that stays in compiled code. The lower
+    31 bits of ids count, and of replicates the lower 31."""
+    x, r = ident.cast("bigint").bitwiseAND(MASK), replicate.cast("bigint").bitwiseAND(MASK)
+    for factor, term, stride, shift in ROUNDS:
+        x = (x * factor + r * stride + (term + seed)).bitwiseAND(MASK)
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return x / F.lit(float(1 << 31))
+
+
+def scattered_sql(ident: str, replicate: str, seed: int) -> str:
+    """:func:`scattered` as SQL."""
+    x, r = f"(({ident})::BIGINT & {MASK})", f"(({replicate})::BIGINT & {MASK})"
+    for factor, term, stride, shift in ROUNDS:
+        x = f"(({x} * {factor} + {r} * {stride} + {term + seed}) & {MASK})"
+        x = f"xor({x}, {x} >> {shift})"
+    return f"({x} / 2147483648.0::DOUBLE)"
 
 
 def poisson_edges() -> list[float]:
@@ -79,17 +97,29 @@ def poisson_edges() -> list[float]:
     return edges
 
 
-def _quantile(u: Column) -> Column:
-    return let(u, lambda x: F.size(F.filter(F.array(*[F.lit(e) for e in poisson_edges()]), lambda e: e <= x)))
+def _uniform(ident: Column, replicate: Column, seed: int, portable: bool) -> Column:
+    return scattered(ident, replicate, seed) if portable else F.pmod(F.xxhash64(ident, replicate, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def _poisson(u: Column) -> Column:
+    return sum(((u >= F.lit(e)).cast("int") for e in poisson_edges()), F.lit(0))
+
+
+def poisson_weight(ident: Column, replicate: Column, seed: int, portable: bool = False) -> Column:
+    """A Poisson(1) number of draws of a row in a replicate, from a hash: the bootstrap of independent rows."""
+    return let(_uniform(ident, replicate, seed, portable), _poisson)
 
 
 def bootstrap(df: DataFrame, by: list[str], ident: str, measures: dict[str, Column], replicates: int, seed: int = 42, weight: str = "weight", portable: bool = False) -> DataFrame:
     """Replicates of aggregates: (by, replicate, measures), where each measure is an aggregate of columns and ``weight``.
 
-    Rows are multiplied by replicates on the map side only: what is shuffled is one partial row a (group, replicate) and task.
+    A row's weight in a replicate is a Poisson(1) draw, the bootstrap of independent rows, from a hash of its id; ``portable`` draws, for integer ids, are
+    those of :func:`scattered`, which SQL can make too. Rows are multiplied by replicates on the map side only, in compiled code: what is
+    shuffled is one partial row a (group, replicate) and task.
     """
     grown = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    grown = grown.withColumn(weight, poisson_weight(F.col(ident), F.col("replicate"), seed, portable)).where(F.col(weight) > 0)
+    grown = grown.withColumn("__draw", _uniform(F.col(ident), F.col("replicate"), seed, portable)).where(F.col("__draw") >= poisson_edges()[0])
+    grown = grown.withColumn(weight, _poisson(F.col("__draw"))).drop("__draw")  # a column of its own, so that the draw is made once
     return grown.groupBy(*by, "replicate").agg(*[m.alias(n) for n, m in measures.items()])
 
 

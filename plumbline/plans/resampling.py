@@ -1,4 +1,4 @@
-"""Queries on resampling, with draws from sha1, so that SQL can make the same ones."""
+"""Queries on resampling, with draws that SQL can make too: scattered ids for weights, sha1 for orders."""
 
 from __future__ import annotations
 
@@ -10,14 +10,13 @@ from .frames import frame
 from .rating import components, nines
 from .registry import query
 
-REPLICATES = 100
-_U = "('0x' || substr(sha1({id}::VARCHAR || '|' || r || '|42'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
-_W = "(" + " + ".join(f"({_U} >= {e!r}::DOUBLE)::INT" for e in A.poisson_edges()) + ")"
+REPLICATES = 1000
+_W = "(" + " + ".join(f"(u >= {e!r}::DOUBLE)::INT" for e in A.poisson_edges()) + ")"
 _REP = f"range(1, {REPLICATES + 1}) g(r)"
 
 
 def _weighted(source: str, ident: str = "event_id") -> str:
-    return f"(SELECT *, {_W.format(id=ident)} AS w FROM {source}, {_REP})"
+    return f"(SELECT *, {_W} AS w FROM (SELECT *, {A.scattered_sql(ident, 'r', 42)} AS u FROM {source}, {_REP}) d)"
 
 
 _ENDS = "round(quantile_cont({m}, 0.025), 8) AS lo, round(quantile_cont({m}, 0.975), 8) AS hi, count({m})::BIGINT AS replicates"
