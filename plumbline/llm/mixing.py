@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import ROWS_A_TASK, checkpoint, global_rank
+from .common import checkpoint, global_rank
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: are 5, 2 and 1: the first kind of source fades, the second is steady, the third grows.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 CAP = 3
+#: Rows of a slice of the digest order, on average.
+SLICE_ROWS = 2_000
 
 
 def integral(knots) -> float:
@@ -75,11 +77,11 @@ def mix(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP) -> DataFrame:
     different documents. Empty input: no rows. Other columns are ignored.
 
     Plan: one scan of the text, which leaves id, source, digest and size; the running size in a source is a sum over
-    slices of the digest order plus a window within a slice. There are as many slices as the rows fill tasks, so a hot source spreads over its
+    slices of the digest order plus a window within a slice. A slice has ``SLICE_ROWS`` rows on average, so a hot source spreads over its
     share of them and rows without an id, or with one id, over all; only rows equal in id, text and source share a slice.
     """
     base = checkpoint(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _digest().alias("digest")))
-    buckets = max(1, -(-base.count() // ROWS_A_TASK))
+    buckets = max(1, -(-base.count() // SLICE_ROWS))
     place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     base = base.withColumn("slice", F.floor(place * buckets / F.lit(1 << 32)).cast("int"))
 
