@@ -1,7 +1,12 @@
-"""Embedding near-duplicates by counting collisions on sorted one-dimensional projections."""
+"""Embedding near-duplicates by counting collisions on sorted one-dimensional projections.
+
+A query-centred window tells a pair at the threshold from an unrelated one by a factor of sqrt(2) / 0.374 = 3.8 at most, so counting alone looks at all
+pairs of a label. Labels too large for that are first cut into cells by runs of further projections; a pair is counted in the first run it shares a cell in.
+"""
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -9,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, grouped, local_roots, pair_blocks
+from .common import checkpoint, components, grouped, local_roots, mix64, pair_blocks
 
 THRESHOLD = 0.93
 PROJECTIONS = 24
@@ -20,6 +25,9 @@ WIDTH = 1.6
 RECALL = 0.99999
 BLOCK = 2048
 _TILE = 256
+#: Width of a cell on a projection, and the most projections that a run cuts by.
+CELL = 1.5
+MOST_CUTS = 24
 
 
 def calibrated(projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL) -> int:
@@ -34,6 +42,26 @@ def calibrated(projections: int = PROJECTIONS, width: float = WIDTH, recall: flo
     return projections
 
 
+def same_cell(spread: float, width: float = CELL) -> float:
+    """Probability that two vectors fall into one cell of a randomly shifted grid, if the difference of their projections is normal with ``spread``."""
+    r = width / spread
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+@functools.cache
+def cutting(size: int, block: int = BLOCK) -> tuple[int, int]:
+    """(runs, projections a run cuts by) for a label of ``size`` vectors: what copies a vector least often. (1, 0) leaves the label whole.
+
+    A pair at the threshold shares a cell in some run with probability ``RECALL``. A cell of unrelated vectors that is larger than ``block`` is
+    dealt in pairs of blocks, as a whole label is, and copies its vectors accordingly."""
+    near, far = same_cell(math.sqrt(2 - 2 * THRESHOLD)), same_cell(math.sqrt(2))
+    best = (max(1.0, size / block), 1, 0)
+    for cuts in range(1, MOST_CUTS + 1):
+        runs = math.ceil(math.log(1 - RECALL) / math.log(1 - near**cuts))
+        best = min(best, (runs * max(1.0, size * far**cuts / block), runs, cuts))
+    return best[1:]
+
+
 def directions(dim: int, projections: int = PROJECTIONS, seed: int = 20) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, projections))
 
@@ -78,13 +106,53 @@ def _units(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
+def _cells(block: int, columns: list[str]):
+    """Add ``keys``, a vector's cell in each run; a label left whole is one cell."""
+
+    def run(batches):
+        grids: dict = {}
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            sizes, dims = part.column("size").to_numpy(), part.column("dim").to_numpy()
+            keys: list = [b"\0\0\0\0"] * len(sizes)
+            for size, dim in sorted(set(zip(sizes.tolist(), dims.tolist()))):
+                runs, cuts = cutting(size, block)
+                if not cuts:
+                    continue
+                at = np.flatnonzero((sizes == size) & (dims == dim))
+                x, _ = _units(part.take(pa.array(at)))
+                if (dim, runs, cuts) not in grids:
+                    rng = np.random.default_rng([31, runs, cuts])
+                    grids[dim, runs, cuts] = rng.standard_normal((dim, runs * cuts)), rng.random(runs * cuts)
+                lines, shift = grids[dim, runs, cuts]
+                cell = np.floor(x @ lines / CELL + shift).astype(np.int64).astype(np.uint64).reshape(len(at), runs, cuts)
+                name = np.zeros((len(at), runs), np.uint64)
+                for j in range(cuts):
+                    name = mix64(name + cell[:, :, j] + np.uint64(0x9E3779B97F4A7C15))
+                name = (name >> np.uint64(32)).astype(np.uint32)
+                for i, row in zip(at.tolist(), name):
+                    keys[i] = row.tobytes()
+            runs_of = [np.frombuffer(k, np.int32) for k in keys]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(runs_of, pa.list_(pa.int32()))], [*columns, "keys"])
+
+    return run
+
+
+def _unmet(keys: np.ndarray, run: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share no cell in the runs before ``run``."""
+    out = np.ones(len(a), bool)
+    for r in range(run):
+        out &= keys[a, r] != keys[b, r]
+    return out
+
+
 def _links(batches):
-    for part in grouped(batches, ["label", "dim", "lo", "hi"]):
+    for part in grouped(batches, ["label", "dim", "run", "cell", "lo", "hi"]):
         ids, side, copies = (part.column(c).to_numpy() for c in ("rep", "side", "copies"))
         x, _ = _units(part)
         shadow = (x @ directions(x.shape[1])).astype(np.float32)
         window = WIDTH * math.sqrt(2 - 2 * THRESHOLD) + 1e-6
-        lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
+        lo, hi, run = (part.column(c)[0].as_py() for c in ("lo", "hi", "run"))
         one, two = (np.arange(len(ids)),) * 2 if lo == hi else (np.flatnonzero(side == lo), np.flatnonzero(side == hi))
         if not len(one) or not len(two):
             continue
@@ -96,6 +164,9 @@ def _links(batches):
         for i in range(0, len(a), 1 << 16):
             hit[i : i + (1 << 16)] = np.einsum("ij,ij->i", x[a[i : i + (1 << 16)]], x[b[i : i + (1 << 16)]]) >= THRESHOLD
         a, b = a[hit], b[hit]
+        if run:
+            first = _unmet(np.array(part.column("keys").to_pylist(), np.int32), run, a, b)
+            a, b = a[first], b[first]
         count = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
         root = local_roots(len(ids), a, b)
         least = np.full(len(ids), np.iinfo(np.int64).max)
@@ -104,6 +175,11 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(count[own].astype(np.int64)), pa.array(least[root][own])], ["rep", "links", "low"])
 
 
+def _names(label: str, embedding: str) -> list:
+    """128 bits in place of a vector, so that results are joined back without sending vectors; null without one."""
+    return [F.when(F.col(embedding).isNotNull(), F.xxhash64(F.lit(salt), label, embedding)).alias(f"name_{salt}") for salt in (1, 2)]
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """Links between vectors of equal, non-null label at cosine >= 0.93 in double precision.
 
@@ -115,8 +191,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     A label's vectors meet in pairs of blocks of ``BLOCK``. Within a pair, projections are sorted, collisions
     counted in query-centred windows, and pairs reaching the calibrated count verified; only counts and one link
-    a vector leave the task. The number of pairs of blocks still grows with the square of a label's size: a
-    window that keeps pairs at cosine 0.93 also keeps a third of unrelated ones on each projection.
+    a vector leave the task. A label of more than some 20 blocks is cut into cells first (:func:`cutting`), so that its
+    vectors are copied once a run, with runs growing like the fourth root of its size, instead of once a block. A cell
+    that is still large, such as that of a crowd of near copies, is compared whole in pairs of blocks.
     """
     value = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(value, lambda x: x != 0), F.lit(False))
@@ -126,17 +203,27 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     usable = rows.where("embedding is not null")
     classes = usable.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    dealt = classes.withColumnsRenamed({"label": "l", "dim": "d"}).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, (F.col("l") == F.col("label")) & (F.col("d") == F.col("dim")))
-    dealt = pair_blocks(dealt, "label", "rep", "size", BLOCK).select("label", "dim", "lo", "hi", "side", "rep", "copies", "embedding")
-    dealt = dealt.repartition("label", "dim", "lo", "hi").sortWithinPartitions("label", "dim", "lo", "hi")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size")).withColumnsRenamed({"label": "l", "dim": "d"})
+    sized_rows = classes.join(sizes, (F.col("l") == F.col("label")) & (F.col("d") == F.col("dim")))
+    columns = ["label", "dim", "rep", "copies", "embedding"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.select(*columns).schema)
+    vectors_cells = checkpoint(sized_rows.select(*columns, "size").mapInArrow(_cells(BLOCK, columns), f"{kinds}, keys array<int>"))
+    cell = ["label", "dim", "run", "cell"]
+    front = vectors_cells.select("label", "dim", "rep", F.posexplode("keys").alias("run", "cell"))
+    # a checkpointed side lets adaptive execution split a hot key of the other one
+    crowds = checkpoint(front.groupBy(*cell).agg(F.count("*").alias("size")).where("size > 1"))
+    dealt = pair_blocks(front.join(crowds, cell), "cell", "rep", "size", BLOCK).select("rep", "run", "cell", "lo", "hi", "side")
+    dealt = dealt.join(vectors_cells, "rep").select(*cell, "lo", "hi", "side", "rep", "copies", "embedding", "keys")
+    dealt = dealt.repartition(*cell, "lo", "hi").sortWithinPartitions(*cell, "lo", "hi")
     found = checkpoint(dealt.mapInArrow(_links, "rep long, links long, low long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = checkpoint(components(found.select(F.col("rep").alias("u"), F.col("low").alias("v")).where("u <> v")))
     lowest = checkpoint(joined.join(classes.select(F.col("rep").alias("node"), "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("lowest")))
     joined = joined.join(lowest, "component").select(F.col("node").alias("rep"), "lowest")
-    known = classes.join(links, "rep", "left").join(joined, "rep", "left").select("label", "embedding", F.coalesce("lowest", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", F.col("label").alias("l"), F.col("embedding").alias("e")).join(known, (F.col("l") == known["label"]) & (F.col("e") == known["embedding"]), "left")
+    known = classes.join(links, "rep", "left").join(joined, "rep", "left").select("label", *_names("label", "embedding"), F.coalesce("lowest", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = known.withColumnsRenamed({"label": "l", "name_1": "n1", "name_2": "n2"})
+    out = rows.select("vec_id", "label", *_names("label", "embedding"))
+    out = out.join(known, (F.col("label") == F.col("l")) & (F.col("name_1") == F.col("n1")) & (F.col("name_2") == F.col("n2")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 

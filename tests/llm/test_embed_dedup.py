@@ -81,3 +81,28 @@ def test_calibration():
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def test_cells_of_large_labels(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 4)
+    rows = vectors(11, 400)
+    rows += [(2000 + i, rows[0][1], rows[0][2]) for i in range(30)]
+    runs, cuts = embed_dedup.cutting(150, 4)
+    assert runs > 1 and cuts > 1
+    assert got(spark, rows) == brute(rows)
+
+
+def test_cells_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    c = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    lines, shift = rng.standard_normal((64, 4000)), rng.random(4000)
+    cell = lambda x: np.floor(x @ lines / embed_dedup.CELL + shift)
+    assert abs((cell(a) == cell(c)).mean() - embed_dedup.same_cell(np.sqrt(0.14))) < 0.005
+    assert abs((cell(a) == cell(a[::-1])).mean() - embed_dedup.same_cell(np.sqrt(2))) < 0.005
+    for size in (10**5, 10**7, 10**9):
+        runs, cuts = embed_dedup.cutting(size)
+        assert 1 - (1 - embed_dedup.same_cell(np.sqrt(0.14)) ** cuts) ** runs >= embed_dedup.RECALL and runs < size / embed_dedup.BLOCK
