@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -32,9 +33,23 @@ _TERMS = _SEEDS.astype(np.uint32)
 _RECORD = "doc_id long, n int, set_key binary, coords array<int>, sketch binary"
 
 
+def meeting(runs: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
+    """Probability that a pair at the threshold shares a bucket of ``depth`` splits in some run. The runs draw from the same coordinates:
+    given that a pair agrees on k of them, a split keeps it together with probability k / COORDINATES, whichever the run."""
+    missed = 0.0
+    for k in range(COORDINATES + 1):
+        weight = math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        missed += weight * (1 - (k / COORDINATES) ** depth) ** runs
+    return 1 - missed
+
+
+@functools.cache
 def runs_needed(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold shares a bucket of ``depth`` splits with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    """Fewest runs after which :func:`meeting` reaches ``recall``."""
+    runs = 1
+    while meeting(runs, threshold, depth) < recall:
+        runs += 1
+    return runs
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:

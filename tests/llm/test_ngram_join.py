@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from plumbline.llm import ngram_join
 from plumbline.llm.common import shingle_set, word_hashes
 
@@ -81,5 +83,18 @@ def test_hashes_do_not_depend_on_batching(prose):
     assert len(shingle_set(together[0][:0])) == 0
 
 
-def test_runs():
-    assert 1 - (1 - 0.8**4) ** ngram_join.runs_needed() >= 0.9999
+def test_runs_reach_their_recall():
+    """Pairs of sets at Jaccard 0.8, their coordinates and paths drawn as the join draws them."""
+    rng = np.random.default_rng(3)
+    pairs, runs = 6000, ngram_join.runs_needed()
+    tokens = rng.integers(0, 1 << 63, (pairs, 100), dtype=np.uint64)
+    a, b = ngram_join.sketches(list(tokens[:, :90])), ngram_join.sketches(list(tokens[:, 10:]))
+    agree = a == b
+    assert abs(agree.mean() - 0.8) < 0.01
+    met = np.zeros(pairs, bool)
+    for _ in range(runs):
+        # a path's coordinates are those of its hash: any, and the same one may come twice
+        path = rng.integers(0, ngram_join.COORDINATES, (pairs, ngram_join.DEPTH))
+        met |= np.take_along_axis(agree, path, axis=1).all(axis=1)
+    assert met.mean() >= 0.999
+    assert ngram_join.meeting(runs) >= ngram_join.RECALL > ngram_join.meeting(runs - 1)
