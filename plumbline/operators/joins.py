@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -126,30 +129,35 @@ def similar_pairs(vectors: DataFrame, by: str, item: str, vector: str, threshold
     return dealt.groupBy(by, "__lo", "__hi").applyInPandas(run, f"{by} {kind[by]}, i {kind[item]}, j {kind[item]}, cosine double")
 
 
-def greedy_clusters(nodes: DataFrame, edges: DataFrame, by: str, item: str, rounds: int = 200) -> DataFrame:
+def greedy_clusters(nodes: DataFrame, edges: DataFrame, by: str, item: str) -> DataFrame:
     """Greedy single-pass clustering: in item order an unassigned item seeds a cluster and takes the unassigned items linked to it.
 
     ``edges``: (by, i, j), i < j. Equal to taking, again and again, the items all of whose smaller unassigned neighbours are gone as
-    seeds; each round is two joins, so no cluster is gathered. Returns (by, item, seed).
+    seeds; each round is two joins, so no cluster is gathered, and decides at least each group's smallest open item, so rounds go on until none is
+    open. Returns (by, item, seed).
     """
     spark = nodes.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="plumbline-")
+        spark.sparkContext.setCheckpointDir(folder)
     links = edges.select(by, "i", "j")
     open_ = links.select(by, F.col("i").alias("x")).union(links.select(by, F.col("j").alias("x"))).distinct().checkpoint()
     alone = nodes.select(by, F.col(item).alias("x")).join(open_, [by, "x"], "left_anti").select(by, F.col("x").alias(item), F.col("x").alias("seed"))
     out = alone
     links = links.checkpoint()
-    for _ in range(rounds):
+    for turn in itertools.count(1):
         if open_.isEmpty():
             return out
         seeds = open_.join(links.select(by, F.col("j").alias("x")), [by, "x"], "left_anti")
         taken = links.join(seeds.select(by, F.col("x").alias("i")), [by, "i"]).groupBy(by, F.col("j").alias("x")).agg(F.min("i").alias("seed"))
         done = seeds.select(by, "x", F.col("x").alias("seed")).union(taken).checkpoint()
         out = out.union(done.select(by, F.col("x").alias(item), "seed"))
+        if turn % 20 == 0:
+            out = out.checkpoint()  # many rounds would otherwise make a union of many parts
         open_ = open_.join(done, [by, "x"], "left_anti").checkpoint()
         gone = done.select(by, "x")
         links = links.join(gone.withColumnRenamed("x", "i"), [by, "i"], "left_anti").join(gone.withColumnRenamed("x", "j"), [by, "j"], "left_anti").checkpoint()
-    raise RuntimeError(f"greedy clustering did not settle in {rounds} rounds")

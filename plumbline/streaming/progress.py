@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -33,52 +34,63 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, by: list[str]) -
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("n"))
 
 
-def progress(events: DataFrame, by: str, time: str, stall_s: int, kind: str = "string") -> DataFrame:
-    """Rows so far by group, and 'stalled' when a group has seen none for ``stall_s`` seconds of processing time.
+def progress(events: DataFrame, by: str, time: str, tick_s: int, ticks: int = 1, kind: str = "string") -> DataFrame:
+    """Rows so far by group, and how long it has been quiet: ``quiet`` counts the ticks of ``tick_s`` seconds of processing time without a row.
 
-    State is a count and the last event time, whatever the number of rows."""
+    Status is 'running' with new rows, 'waiting' in the first quiet ticks and 'stalled' from the ``ticks``-th on. The count outlives a stall: new
+    rows go on from it. State is two counts and the last event time, whatever the number of rows."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, pd.Timestamp(0))
-        status = "running"
+        n, last, quiet = state.get if state.exists else (0, pd.Timestamp(0), 0)
         if state.hasTimedOut:
-            status = "stalled"
-            state.remove()
+            quiet += 1
         else:
+            quiet = 0
             for p in parts:
                 n, last = n + len(p), max(last, p[time].max())
-            state.update((n, last))
-            state.setTimeoutDuration(stall_s * 1000)
-        yield pd.DataFrame({by: [key[0]], "n": [n], "last": [last], "status": [status]})
+        state.update((n, last, quiet))
+        state.setTimeoutDuration(tick_s * 1000)
+        status = "running" if not quiet else "waiting" if quiet < ticks else "stalled"
+        yield pd.DataFrame({by: [key[0]], "n": [n], "last": [last], "quiet": [quiet], "status": [status]})
 
-    return events.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, n long, last timestamp, status string", "n long, last timestamp", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    fields = "n long, last timestamp, quiet long"
+    return events.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, {fields}, status string", fields, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def when_complete(target: int, action):
-    """A foreachBatch function that runs ``action`` once the rows seen reach ``target``."""
-    seen = {"n": 0, "done": False}
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    def run(batch: DataFrame, _: int) -> None:
-        seen["n"] += batch.count()
-        if seen["n"] >= target and not seen["done"]:
-            seen["done"] = True
-            action(seen["n"])
+
+def when_complete(target: int, action, path: str):
+    """A foreachBatch function that runs ``action`` once the rows seen reach ``target``.
+
+    Counts stand in ``path`` by batch, so that a restart goes on from them and a replayed batch replaces its own. That the action has run is noted
+    after it; a failure between the two runs it again."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        seen = spark.read.schema("n long, batch long").parquet(f"{path}/counts").agg(F.sum("n")).first()[0]
+        if seen >= target and not _exists(spark, f"{path}/done/_SUCCESS"):
+            action(seen)
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
 
     return run
 
 
 def merge_batches(path: str, key: list[str]):
-    """A foreachBatch function that appends only keys the Parquet folder at ``path`` lacks."""
+    """A foreachBatch function that appends only keys the Parquet folder at ``path`` lacks; adds ``merged_batch``, the batch that a row came with.
+
+    A batch writes a folder of its own and is compared with the others' keys, so a replayed batch replaces what it wrote before."""
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(key)
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
-        except Exception as problem:
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-        fresh.write.mode("append").parquet(path)
+        if _exists(spark, path):
+            known = spark.read.schema(T.StructType([*(batch.schema[k] for k in key), T.StructField("merged_batch", T.LongType())])).parquet(path)
+            fresh = fresh.join(known.where(F.col("merged_batch") != number).select(*key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/merged_batch={number}")
 
     return run
 
@@ -109,7 +121,6 @@ class Ledger:
 
     def run(self, name: str, step, *inputs: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if not _exists(self.spark, f"{path}/_SUCCESS"):
             step(*inputs).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
