@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..session import shared_folder
+
 
 def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row a key, the first in ``order``. The order must be total for a repeatable result.
@@ -136,14 +137,7 @@ def greedy_clusters(nodes: DataFrame, edges: DataFrame, by: str, item: str) -> D
     seeds; each round is two joins, so no cluster is gathered, and decides at least each group's smallest open item, so rounds go on until none is
     open. Returns (by, item, seed).
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_folder(nodes.sparkSession)
     links = edges.select(by, "i", "j")
     open_ = links.select(by, F.col("i").alias("x")).union(links.select(by, F.col("j").alias("x"))).distinct().checkpoint()
     alone = nodes.select(by, F.col(item).alias("x")).join(open_, [by, "x"], "left_anti").select(by, F.col("x").alias(item), F.col("x").alias("seed"))

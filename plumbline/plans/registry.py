@@ -12,7 +12,7 @@ from . import frames
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "calibration_bundle"
-MODULES = ("scans", "reshaping", "joining", "measuring", "rating", "ranking", "inferring", "resampling", "deciding", "sampling", "wording", "answering", "streams")
+MODULES = ("scans", "reshaping", "joining", "measuring", "rating", "ranking", "inferring", "resampling", "deciding", "sampling", "wording", "answering", "streams", "stored", "rollups")
 
 
 def query(name: str, sql: str | None = None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +22,19 @@ def get_spark(app: str = "plumbline", master: str | None = None, **conf: str) ->
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of checkpoints, set from spark.checkpoint.dir if it is not yet.
+
+    Where the session names no folder, one of our own is set on a local master, as in tests; a cluster must name a shared one.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="plumbline-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
