@@ -46,7 +46,8 @@ def top_share(df: DataFrame, by: list[str], score: str, tie: str, rate: Column |
 
 
 def quantiles(value: str, q: float) -> dict[str, Column]:
-    """Aggregates for the four quantile definitions: linear, nearest rank, lower index, upper index."""
+    """Aggregates for the four quantile definitions: linear, nearest rank, lower index, upper index. A group's values are gathered; for groups of any
+    size see :func:`quantile_table`."""
     line = F.array_sort(F.collect_list(value))
     n = F.count(value)
     at = lambda i: F.get(line, i.cast("int"))
@@ -58,6 +59,23 @@ def quantiles(value: str, q: float) -> dict[str, Column]:
     }
 
 
+def quantile_table(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """(by, linear, nearest, lower, upper): the four quantile definitions of ``value`` by group, nulls left out.
+
+    A place is looked up in the running counts of distinct values, so no group is gathered; the window sees one row a distinct value.
+    """
+    w = W.Window.partitionBy(*(by or [F.lit(0)]))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(w.orderBy("__v").rowsBetween(W.Window.unboundedPreceding, 0))
+    counts = counts.withColumns({"__to": upto, "__n": F.sum("__c").over(w)})
+    n, at = F.col("__n"), (F.col("__n") - 1) * F.lit(q)
+    places = {"nearest": F.bround(at, 0), "lower": F.floor(at), "upper": F.least(F.ceil(n * F.lit(q)), n) - 1, "__hi": F.ceil(at)}
+    value_at = lambda i: F.max(F.when((i >= F.col("__to") - F.col("__c")) & (i < F.col("__to")), F.col("__v")))
+    found = counts.groupBy(*by).agg(*[value_at(i).alias(name) for name, i in places.items()], F.max(at - F.floor(at)).alias("__part"))
+    linear = F.col("lower") * (1 - F.col("__part")) + F.col("__hi") * F.col("__part")
+    return found.select(*by, linear.alias("linear"), "nearest", "lower", "upper")
+
+
 def pareto_front(points: DataFrame, key: list[str], up: list[str], down: list[str]) -> DataFrame:
     """Points that no other point dominates: at least as good everywhere and better somewhere. A missing ``up`` value counts as -1; a missing ``down`` value
     is no objection.

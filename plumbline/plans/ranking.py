@@ -54,7 +54,7 @@ def top(spark, d):
        FROM (SELECT model, quantile_cont(conf, 0.3) AS linear, list(conf ORDER BY conf) AS l, count(*) AS n FROM {measurements} m WHERE conf IS NOT NULL GROUP BY model) x""",
 )
 def quantiles(spark, d):
-    return nines(frame(spark, d, "measurements").groupBy("model").agg(*[c.alias(n) for n, c in K.quantiles("conf", 0.3).items()]))
+    return nines(K.quantile_table(frame(spark, d, "measurements"), ["model"], "conf", 0.3))
 
 
 _POINTS = f"SELECT domain, model, avg((decision = 'proceed')::INT) AS autonomy, avg(correct::INT) AS success, avg(tokens) AS cost, CASE WHEN domain = 'd2' THEN NULL ELSE avg(hedges) END AS latency FROM {C} c GROUP BY domain, model"

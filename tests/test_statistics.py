@@ -104,3 +104,26 @@ def test_half_even_and_quantiles(spark):
     assert [r["i"] for r in K.top_share(df, ["g"], "s", "i", 0.5).where("top").collect()] == [4, 3]
     q = df.agg(*[c.alias(n) for n, c in K.quantiles("s", 0.6).items()]).first()
     assert (q["linear"], q["nearest"], q["lower"], q["upper"]) == (pytest.approx(2.4), 2.0, 2.0, 2.0)
+
+
+def test_tau_and_quantiles_of_many_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x), float(y)) for x, y in rng.normal(size=(300, 2))] + [("b", float(x), float(y)) for x, y in rng.integers(0, 6, size=(200, 2))]
+    rows += [("c", 1.0, float(i)) for i in range(5)] + [("d", None, 1.0), ("d", 2.0, None), (None, 1.0, 2.0), (None, 2.0, 3.0), ("e", 1.0, 1.0)]
+    df = frame(spark, rows, "g string, x double, y double")
+    tau = {r["g"]: r["tau"] for r in S.kendall_tau(df, ["g"], "x", "y").collect()}
+
+    def brute(g):
+        p = np.array([r[1:] for r in rows if r[0] == g], float)
+        dx, dy = np.sign(p[:, None, 0] - p[None, :, 0]), np.sign(p[:, None, 1] - p[None, :, 1])
+        return (dx * dy).sum() / math.sqrt((dx != 0).sum() * (dy != 0).sum())
+
+    assert tau["a"] == pytest.approx(brute("a"), abs=1e-12) and tau["b"] == pytest.approx(brute("b"), abs=1e-12)
+    assert tau[None] == pytest.approx(1.0) and tau["c"] is None and tau["e"] is None and "d" not in tau
+    for q in (0.0, 0.25, 0.6, 1.0):
+        want = {r["g"]: r for r in df.where("x is not null").groupBy("g").agg(*[c.alias(n) for n, c in K.quantiles("x", q).items()]).collect()}
+        for r in K.quantile_table(df, ["g"], "x", q).collect():
+            for name in ("linear", "nearest", "lower", "upper"):
+                if q > 0 or name != "upper":
+                    assert r[name] == pytest.approx(want[r["g"]][name], abs=1e-12)
+    assert K.quantile_table(df.limit(0), ["g"], "x", 0.5).collect() == [] == S.kendall_tau(df.limit(0), ["g"], "x", "y").collect()
