@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -168,15 +169,56 @@ def mann_whitney(df: DataFrame, by: list[str], value: str, first: str) -> DataFr
     return g.select(*by, u.alias("u"), z.alias("z"), (2 * (1 - normal_cdf(F.abs(z)))).alias("p"))
 
 
+def _signed_rank_tail(n: int) -> list[float]:
+    """P(W+ <= w) for w = 0, 1, ...: the share of the subsets of 1 to n with a sum of at most w."""
+    ways = [1]
+    for k in range(1, n + 1):
+        ways = [(ways[w] if w < len(ways) else 0) + (ways[w - k] if w >= k else 0) for w in range(len(ways) + k)]
+    total, out = 0, []
+    for count in ways:
+        total += count
+        out.append(total / 2**n)
+    return out
+
+
+def signed_rank_p(n: Column, w: Column) -> Column:
+    """Exact two-sided p of a signed-rank statistic of n differences without ties. One row a group, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def exact(n: pd.Series, w: pd.Series) -> pd.Series:
+        tails = {int(k): _signed_rank_tail(int(k)) for k in n.dropna().unique()}
+
+        def p(k, v):
+            if k != k or v != v:
+                return None
+            low, top = tails[int(k)], int(k) * (int(k) + 1) // 2
+            return min(1.0, 2 * low[min(int(v), top - int(v))])
+
+        return pd.Series([p(k, v) for k, v in zip(n, w)], dtype="float64")
+
+    return exact(n.cast("double"), w)
+
+
+#: Differences up to which the signed-rank test is exact where it has neither ties nor zeros.
+EXACT = 50
+
+
 def wilcoxon(df: DataFrame, by: list[str], difference: str) -> DataFrame:
-    """Signed-rank statistic W+ of the non-zero differences with its z and normal two-sided p; fewer than three: null; all zero: p 1."""
+    """Signed-rank statistic W+ of the non-zero differences with its two-sided p: exact for at most 50 differences without ties and zeros, else by the
+    normal approximation with the correction for ties. Fewer than three: null; all zero: p 1."""
     rows = df.where(F.col(difference).isNotNull()).select(*by, F.col(difference).alias("__d"))
-    ranked = average_ranks(rows.where("__d <> 0").withColumn("__a", F.abs("__d")), "__a", by, "__r")
+    sized = rows.where("__d <> 0").withColumn("__a", F.abs("__d"))
+    ranked = average_ranks(sized, "__a", by, "__r")
     g = ranked.groupBy(*by).agg(F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("w"), F.count("*").alias("n"))
+    t = F.col("__t").cast("double")
+    ties = sized.groupBy(*by, "__a").agg(F.count("*").alias("__t")).groupBy(*by).agg(F.sum(t * t * t - t).alias("ties"))
     all_ = rows.groupBy(*by).agg(F.count("*").alias("rows"))
     n = F.col("n")
-    z = F.try_divide(F.col("w") - n * (n + 1) / 4.0, F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0))
-    return all_.join(g, by, "left").select(*by, F.col("w"), F.when(F.col("rows") >= 3, F.when(n.isNull(), 1.0).otherwise(2 * (1 - normal_cdf(F.abs(z))))).alias("p"))
+    z = F.try_divide(F.col("w") - n * (n + 1) / 4.0, F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24.0))
+    alone = (F.col("ties") == 0) & (n == F.col("rows")) & (n <= EXACT)
+    joined = all_.join(g, by, "left").join(ties, by, "left").withColumn("exact", signed_rank_p(F.when(alone, n), F.when(alone, F.col("w"))))
+    p = F.when(n.isNull(), 1.0).otherwise(F.coalesce("exact", 2 * (1 - normal_cdf(F.abs(z)))))
+    return joined.select(*by, F.col("w"), F.when(F.col("rows") >= 3, p).alias("p"))
 
 
 def friedman(df: DataFrame, block: str, treatment: str, value: str, ranked: bool = True) -> DataFrame:

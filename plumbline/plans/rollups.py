@@ -72,13 +72,14 @@ def _failure(spark, d):
     "escalation_tests",
     f"""WITH r AS (SELECT model, condition, {_CFR} AS x FROM {{components}} c GROUP BY ALL), p AS (SELECT a.condition AS first, b.condition AS second, b.x - a.x AS d FROM r a JOIN r b ON a.model = b.model AND a.condition < b.condition),
         k AS (SELECT *, (rank() OVER (PARTITION BY first, second ORDER BY abs(d)) + (count(*) OVER (PARTITION BY first, second, abs(d)) - 1) / 2.0)::DOUBLE AS rk FROM p WHERE d <> 0),
-        w AS (SELECT first, second, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w, count(*) AS n FROM k GROUP BY ALL),
-        t AS (SELECT first, second, w, {_P.format(z='abs(w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0)')} AS p FROM w),
+        w AS (SELECT first, second, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w FROM k GROUP BY ALL),
+        s AS (SELECT first, second, m, sum(CASE WHEN (m >> (rk::INT - 1)) & 1 = 1 THEN rk ELSE 0 END) AS v FROM k, range(0, 32) g(m) GROUP BY ALL),
+        t AS (SELECT first, second, any_value(w) AS w, least(1.0, 2 * least(count(*) FILTER (v <= w), count(*) FILTER (v >= w)) / 32.0)::DOUBLE AS p FROM w JOIN s USING (first, second) GROUP BY ALL),
         h AS (SELECT *, row_number() OVER (ORDER BY p, first, second) AS rn, count(*) OVER () AS m FROM t)
         SELECT first, second, round(w, 8) AS w, round(p, 7) AS p, round(max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn), 7)::DOUBLE AS p_holm FROM h""",
 )
 def tests(spark, d):
-    """Signed-rank tests of each pair of conditions over models, adjusted by Holm's rule."""
+    """Signed-rank tests of each pair of conditions over models, adjusted by Holm's rule. The SQL counts the signs of the ranks of the five models."""
     pairs = M.paired_channels(_failure(spark, d), ["model"], "condition", "x").withColumn("d", F.col("y") - F.col("x"))
     t = S.wilcoxon(pairs.withColumnsRenamed({"ch_a": "first", "ch_b": "second"}), ["first", "second"], "d")
     h = ranks.holm(t, "p", [], ["first", "second"])

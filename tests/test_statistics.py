@@ -127,3 +127,20 @@ def test_tau_and_quantiles_of_many_values(spark):
                 if q > 0 or name != "upper":
                     assert r[name] == pytest.approx(want[r["g"]][name], abs=1e-12)
     assert K.quantile_table(df.limit(0), ["g"], "x", 0.5).collect() == [] == S.kendall_tau(df.limit(0), ["g"], "x", "y").collect()
+
+
+def test_exact_signed_ranks(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", float(d)) for d in rng.normal(0.4, 1, 9)] + [("b", float(d)) for d in rng.normal(0, 1, 60)]
+    rows += [("t", d) for d in (1.0, 1.0, -1.0, 2.0, 3.0)] + [("z", 0.0)] * 4 + [("s", 1.0), ("s", 2.0), ("n", None)]
+    got = {r["g"]: r for r in S.wilcoxon(frame(spark, rows, "g string, d double"), ["g"], "d").collect()}
+    d = np.array([v for g, v in rows if g == "a"])
+    rank = np.abs(d).argsort().argsort() + 1
+    w = rank[d > 0].sum()
+    sums = [sum(k + 1 for k in range(9) if m >> k & 1) for m in range(512)]
+    assert got["a"]["w"] == w
+    assert got["a"]["p"] == pytest.approx(min(1, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / 512), abs=1e-12)
+    normal = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    assert got["b"]["p"] == pytest.approx(normal((got["b"]["w"] - 60 * 61 / 4) / math.sqrt(60 * 61 * 121 / 24)), abs=1e-6)
+    assert got["t"]["p"] == pytest.approx(normal((13 - 7.5) / math.sqrt((5 * 6 * 11 - 24 / 2) / 24)), abs=1e-6)
+    assert got["z"]["p"] == 1.0 and got["s"]["p"] is None and "n" not in got
