@@ -174,3 +174,30 @@ def logistic(df: DataFrame, features: list[str], label: str, ridge: float = 1e-6
         if np.abs(step).max() < 1e-10:
             break
     return beta
+
+
+def missingness_model(df: DataFrame, categories: list[str], observed: Column, most: int = 500) -> DataFrame:
+    """Which categories go with missing records: (term, coefficient, odds_ratio, auc) of a logistic regression on one indicator a category.
+
+    The first value of each column, by text, is the reference; a null value is a category of its own, named null. The area under the curve of the
+    fitted risk is the same in each row. More than ``most`` categories raise an error, as each adds a row to the Hessian. No rows: no terms but the
+    intercept, which is null then.
+    """
+    from .metrics import auroc
+
+    spark = df.sparkSession
+    rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in categories], (~observed).alias("__missing")).where("__missing is not null")
+    levels = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categories])).alias("l")).select("l.*").distinct()
+    known = sorted((r["c"], r["v"]) for r in levels.limit(most + 1).collect())
+    if len(known) > most:
+        raise ValueError(f"more than {most} categories")
+    first = {c: min(v for k, v in known if k == c) for c, _ in known}
+    terms = [(c, v) for c, v in known if v != first[c]]
+    names = [f"__x{i}" for i in range(len(terms))]
+    coded = rows.select("__missing", *[(F.col(c) == F.lit(v)).cast("double").alias(n) for n, (c, v) in zip(names, terms)])
+    beta = logistic(coded, names, "__missing") if known else [None]
+    risk = sum((F.col(n) * float(b) for n, b in zip(names, beta[1:])), F.lit(0.0))
+    area = auroc(coded.select(risk.alias("risk"), "__missing"), [], "risk", "__missing", "auc") if known else spark.range(1).select(F.lit(None).cast("double").alias("auc"))
+    listed = [("intercept", *beta[:1]), *((f"{c}={v}", b) for (c, v), b in zip(terms, beta[1:]))]
+    out = spark.createDataFrame([(t, None if b is None else float(b)) for t, b in listed], "term string, coefficient double")
+    return out.join(F.broadcast(area), how="left").select("term", "coefficient", F.exp("coefficient").alias("odds_ratio"), "auc")

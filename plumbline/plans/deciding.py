@@ -175,6 +175,19 @@ def logistic(spark, d):
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+@query(
+    "missingness_odds",
+    """WITH c AS (SELECT channel, count(*) FILTER (NOT parse_success)::DOUBLE AS m, count(*) FILTER (parse_success)::DOUBLE AS o FROM {measurements} x GROUP BY channel), b AS (SELECT ln(m / o) AS base FROM c WHERE channel = '1'),
+       a AS (SELECT sum(x.m * y.o * CASE WHEN x.m / x.o > y.m / y.o THEN 1 WHEN x.m / x.o = y.m / y.o THEN 0.5 ELSE 0 END) / sum(x.m * y.o) AS auc FROM c x, c y),
+       t AS (SELECT CASE channel WHEN '1' THEN 'intercept' ELSE 'channel=' || channel END AS term, ln(m / o) - CASE channel WHEN '1' THEN 0 ELSE base END AS k FROM c, b)
+       SELECT term, round(k, 4) AS coefficient, round(exp(k), 4) AS odds_ratio, round(auc, 4) AS auc FROM t, a""",
+)
+def odds(spark, d):
+    """With one column the fit has a closed form, which the SQL states."""
+    m = P.missingness_model(frame(spark, d, "measurements"), ["channel"], F.col("parse_success"))
+    return m.select("term", *[F.round(c, 4).alias(c) for c in ("coefficient", "odds_ratio", "auc")])
+
+
 @query("platt_calibration")
 def platt(spark, d):
     """Score calibrated on the hashed half, judged on the other."""

@@ -157,3 +157,16 @@ def test_adaptive_thresholds_loop(spark):
                 s, w = round(s + 0.05, 10), round(w - 0.05, 10)
                 break
         assert got[m] == (s, w)
+
+
+def test_missingness_model(spark):
+    cells = [("x", None, 30, 70), ("x", "u", 30, 70), ("y", None, 60, 40), ("y", "u", 60, 40)]
+    rows = [(a, b, i >= m) for a, b, m, o in cells for i in range(m + o)] + [("x", "u", None)]
+    df = spark.createDataFrame(rows, "a string, b string, seen boolean")
+    got = {r["term"]: r for r in P.missingness_model(df, ["a", "b"], F.col("seen")).collect()}
+    assert set(got) == {"intercept", "a=y", "b=u"}
+    assert got["a=y"]["odds_ratio"] == pytest.approx((60 / 40) / (30 / 70), rel=1e-6) and got["b=u"]["odds_ratio"] == pytest.approx(1, abs=1e-6)
+    assert got["a=y"]["auc"] == pytest.approx((120 * 140 + 0.5 * (120 * 80 + 60 * 140)) / (180 * 220), abs=1e-9)
+    with pytest.raises(ValueError):
+        P.missingness_model(df, ["a", "b"], F.col("seen"), most=3)
+    assert [tuple(r) for r in P.missingness_model(df.limit(0), ["a"], F.col("seen")).collect()] == [("intercept", None, None, None)]
