@@ -19,6 +19,16 @@ def accuracy(label: Column) -> Column:
     return F.avg(as_number(label))
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean as a double that does not depend on the order of rows (aggregate), so that equal means tie.
+
+    Values are summed as decimals of 18 places, which suits confidences. A group with a value that those cannot hold, NaN, infinite or of
+    1e10 or more, has the plain mean.
+    """
+    kept = value.try_cast("decimal(28,18)")
+    return F.when(F.count(kept) == F.count(value), F.avg(kept).cast("double")).otherwise(F.avg(value))
+
+
 def brier(p: Column, label: Column) -> Column:
     return F.avg(F.when(label.isNotNull(), F.pow(p - as_number(label), F.lit(2.0))))
 

@@ -256,7 +256,7 @@ def transfer(spark, d):
 
     m = frame(spark, d, "measurements")
     acc = m.where("correct is not null").groupBy("domain").agg(M.accuracy(F.col("correct")).alias("acc"))
-    j = m.groupBy("model", "channel", "domain").agg(F.avg("conf").alias("signal")).join(acc, "domain")
+    j = m.groupBy("model", "channel", "domain").agg(M.exact_mean(F.col("conf")).alias("signal")).join(acc, "domain")
     s = spearman(j, ["model", "channel"], "signal", "acc")
     return s.groupBy("model").agg(F.round(F.avg("rho"), 8).alias("transfer"), F.count("rho").alias("channels"))
 
